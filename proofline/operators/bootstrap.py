@@ -69,22 +69,58 @@ def split_clusters(cases: DataFrame, cluster: str, strata: str) -> DataFrame:
     )
 
 
-def mean_replicates(
+def mean_replicates_of(
     cases: DataFrame,
-    value: str,
+    values: list[str],
     cluster: str,
     strata: str | None = None,
     resamples: int = S.RESAMPLES,
     seed: int = S.REPORT_SEED,
 ) -> DataFrame:
-    """(replicate, value): the mean over the rows of each replicate, from cluster sums and sizes."""
+    """(replicate, one column per value): the means over the rows of each replicate, from cluster
+    sums and sizes. All values share the draws."""
+    totals = [F.sum(F.col(v).cast("double")).alias(f"_total_{v}") for v in values]
     sums = numbered_clusters(
         cases.groupBy(_stratum(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(
-            F.sum(F.col(value).cast("double")).alias("total"), F.count("*").alias("rows")
+            *totals, F.count("*").alias("_rows")
         )
     )
     drawn = draws(sums, resamples, seed).join(sums, ["stratum", "position"])
-    return drawn.groupBy("replicate").agg((F.sum("total") / F.sum("rows")).alias("value"))
+    return drawn.groupBy("replicate").agg(
+        *[(F.sum(f"_total_{v}") / F.sum("_rows")).alias(v) for v in values]
+    )
+
+
+def mean_replicates(
+    cases: DataFrame,
+    value: str,
+    cluster: str,
+    strata: str | None = None,
+    resamples: int = S.RESAMPLES,
+    seed: int = S.REPORT_SEED,
+) -> DataFrame:
+    """(replicate, value) of one mean."""
+    replicates = mean_replicates_of(cases, [value], cluster, strata, resamples, seed)
+    return replicates.withColumnRenamed(value, "value")
+
+
+def intervals(replicates: DataFrame, values: list[str], confidence: float = S.CONFIDENCE) -> DataFrame:
+    """One row with <value>_low, <value>_high and <value>_mde for several always-defined values."""
+    check_confidence(confidence)
+    alpha = 1.0 - confidence
+    ends = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    row = replicates.agg(
+        *[F.percentile(v, ends).alias(f"_ends_{v}") for v in values],
+        *[F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"_se_{v}") for v in values],
+    )
+    columns = []
+    for v in values:
+        columns += [
+            F.get(f"_ends_{v}", F.lit(0)).alias(f"{v}_low"),
+            F.get(f"_ends_{v}", F.lit(1)).alias(f"{v}_high"),
+            (F.col(f"_se_{v}") * effect_factor(confidence)).alias(f"{v}_mde"),
+        ]
+    return row.select(*columns)
 
 
 def interval(replicates: DataFrame, confidence: float = S.CONFIDENCE) -> DataFrame:
