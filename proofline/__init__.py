@@ -9,3 +9,11 @@ plans       whole jobs: index filings, build labelled questions, run a split, re
 streaming   Structured Streaming jobs over arriving questions and request logs.
 catalog     the registered queries and the SQL each is compared with.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions run inside tasks travel with the job, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,6 +14,7 @@ from proofline.operators import bootstrap as B
 from proofline.operators import ranking as R
 from proofline.operators import regression as G
 from proofline.operators import selection as SEL
+from proofline.session import materialize
 
 Z = repr(ST.normal_quantile(0.975))
 COSINE_CUT = 100.0
@@ -489,7 +490,9 @@ base AS (SELECT *, a::INT - f::INT AS h1, e::INT - f::INT AS h2 FROM neg)
 )
 def confirmatory_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = cases(spark, sf_dir)
-    masked = A.with_masks(A.end_to_end(records), A.fit_thresholds(records))
+    # Two rows per score; written once so that every part of the comparison reads the same table.
+    thresholds = materialize(A.fit_thresholds(records), "thresholds")
+    masked = A.with_masks(A.end_to_end(records), thresholds)
     row = A.confirmatory(masked, resamples=MEAN_RESAMPLES)
     return _rounded(
         row.select(

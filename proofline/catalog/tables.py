@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline import schemas as S
+from proofline.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table about to be parsed or built into text, only the columns needed, over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns) if columns else table(spark, sf_dir, name))
+
+
 # --- filings and facts ---------------------------------------------------------------------------
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accession, cik, report_date, fiscal_year: one filing per order."""

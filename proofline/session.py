@@ -59,3 +59,13 @@ def materialize(df: DataFrame, purpose: str, partition_by: list[str] | None = No
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt over all of them.
+
+    Parsing text is bound by the processor, and one file can arrive as one split. A large table
+    has splits enough and is left where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
