@@ -7,7 +7,7 @@ the texts, not the number of phrases times it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import text as X
@@ -15,47 +15,38 @@ from proofline.functions import text as X
 ANCHOR_WORDS = 4
 
 
-def _words(normalized):
+def _words(normalized: Column) -> Column:
     return F.split(F.btrim(normalized), " ")
 
 
+def _runs(words: Column, width: int) -> Column:
+    """Hashes of every run of ``width`` words, each once."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i + (width - 1) <= F.size(words))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width))))
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: str) -> DataFrame:
     """(text_id, phrase_id), once per pair. ``texts``: text_id, words (``normalize_words``).
     ``phrases``: phrase_id, phrase."""
-    anchored = phrases.select(
-        F.col(phrase_id), X.normalize_words(F.col("phrase")).alias("_phrase")
+    opened = phrases.select(
+        phrase_id, X.normalize_words(F.col("phrase")).alias("_phrase")
     ).where(F.btrim("_phrase") != "")
-    anchored = anchored.select(
+    opened = opened.select(
         phrase_id,
         "_phrase",
         F.least(F.size(_words(F.col("_phrase"))), F.lit(ANCHOR_WORDS)).alias("_width"),
-        F.array_join(F.slice(_words(F.col("_phrase")), 1, ANCHOR_WORDS), " ").alias("_anchor"),
+        F.xxhash64(F.slice(_words(F.col("_phrase")), 1, ANCHOR_WORDS)).alias("_anchor"),
     )
-    tokens = texts.select(F.col(text_id), _words(F.col("words")).alias("_w"))
-    # Runs of each width a phrase can open with, once per text.
-    runs = tokens.select(
-        text_id,
-        F.explode(
-            F.flatten(
-                F.array(
-                    *[
-                        F.array_distinct(
-                            F.transform(
-                                F.when(
-                                    F.size("_w") >= width, F.sequence(F.lit(1), F.size("_w") - (width - 1))
-                                ).otherwise(F.array().cast("array<int>")),
-                                lambda i, width=width: F.array_join(F.slice("_w", i, width), " "),
-                            )
-                        )
-                        for width in range(1, ANCHOR_WORDS + 1)
-                    ]
-                )
-            )
-        ).alias("_anchor"),
+    # At most ANCHOR_WORDS numbers: which run lengths the phrases open with.
+    widths = sorted(row["_width"] for row in opened.select("_width").distinct().collect())
+    tokens = texts.select(text_id, _words(F.col("words")).alias("_w"))
+    runs = F.concat(*[_runs(F.col("_w"), width) for width in widths]) if widths else F.array().cast("array<bigint>")
+    met = (
+        tokens.select(text_id, F.explode(runs).alias("_anchor"))
+        .join(opened.select("_anchor").distinct(), "_anchor", "left_semi")
+        .distinct()
     )
-    anchors = anchored.select("_anchor").distinct()
-    met = runs.join(anchors, "_anchor", "left_semi").distinct()
-    candidates = met.join(anchored, "_anchor").select(text_id, phrase_id, "_phrase")
+    candidates = met.join(opened.drop("_width"), "_anchor").select(text_id, phrase_id, "_phrase")
     read = candidates.join(texts.select(text_id, "words"), text_id)
     return read.where(F.contains("words", F.col("_phrase"))).select(text_id, phrase_id).distinct()
 

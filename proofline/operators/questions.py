@@ -23,6 +23,7 @@ from proofline import schemas as S
 from proofline.functions import amounts as A
 from proofline.functions import text as X
 from proofline.operators import facts as FA
+from proofline.operators import phrases as PH
 from proofline.operators import printed as PR
 from proofline.operators.running import running_totals
 
@@ -177,27 +178,27 @@ def other_companies(
 def unreported_concepts(filings: DataFrame, facts: DataFrame, words: DataFrame, sector: DataFrame) -> DataFrame:
     """Concepts the company never reported and whose phrases the filing does not contain."""
     reported = FA.reported_concepts(facts).select("cik", F.col("concept").alias("tag"), F.lit(True).alias("_reported"))
-    asked = filings.select("accession", "cik").crossJoin(sector)
-    joined = asked.join(reported, ["cik", "tag"], "left").join(words, "accession", "left")
-    phrase = F.exists("absent_phrases", lambda p: X.contains_phrase(F.col("words"), p))
-    reason = F.when(F.col("_reported"), F.lit("reported_by_company")).when(
-        F.coalesce(phrase, F.lit(False)), F.lit("phrase_in_text")
-    )
+    phrases = sector.select("key", F.explode("absent_phrases").alias("phrase"))
+    said = PH.phrase_hits(words, phrases, "accession", "key").withColumn("_said", F.lit(True))
+    # A handful of concepts per filing; the texts themselves are not repeated.
+    asked = filings.select("accession", "cik").crossJoin(sector.select("key", "tag", "label"))
+    joined = asked.join(reported, ["cik", "tag"], "left").join(said, ["accession", "key"], "left")
+    reason = F.when(F.col("_reported"), F.lit("reported_by_company")).when(F.col("_said"), F.lit("phrase_in_text"))
     rows = joined.select(
-        "accession", "key", "label", F.col("tag").alias("concept"),
-        F.explode(F.array(*[F.lit(y) for y in S.COVERED_YEARS_BACK])).alias("years_before"), reason.alias("drop_reason"),
+        "accession", "key", "label", F.col("tag").alias("concept"), reason.alias("drop_reason"),
     )
     return _labelled(rows, filings, "unreported_concept")
 
 
 def off_domain(filings: DataFrame, words: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions about nothing a filing tells, kept when their marker phrase is not in it."""
-    asked = filings.select("accession").join(words, "accession", "left").crossJoin(questions)
-    present = X.contains_phrase(F.col("words"), F.col("marker"))
-    rows = asked.select(
-        "accession", "key", F.col("question").alias("phrasing"),
-        F.when(F.coalesce(present, F.lit(False)), F.lit("marker_in_text")).alias("drop_reason"),
-    )
+    markers = questions.select("key", F.col("marker").alias("phrase"))
+    said = PH.phrase_hits(words, markers, "accession", "key").withColumn("_said", F.lit(True))
+    asked = filings.select("accession").crossJoin(questions.select("key", F.col("question").alias("phrasing")))
+    joined = asked.join(said, ["accession", "key"], "left")
+    rows = joined.select(
+        "accession", "key", "phrasing", F.when(F.col("_said"), F.lit("marker_in_text")).alias("drop_reason")
+    )
     return _labelled(rows, filings, "off_domain")
 
 
@@ -212,6 +213,10 @@ def _labelled(rows: DataFrame, filings: DataFrame, kind: str) -> DataFrame:
 def cases_of(candidates: DataFrame, companies: DataFrame, phrasings: DataFrame | None = None) -> DataFrame:
     """Kept candidates as questions, one per phrasing. ``phrasings``: key, phrasings."""
     kept = candidates.where(F.col("drop_reason").isNull())
+    if "label" in kept.columns:
+        # A concept is dropped once, and asked about for every year the filing covers.
+        kept = kept.withColumn("years_before", F.explode(F.array(*[F.lit(y) for y in S.COVERED_YEARS_BACK])))
+        kept = kept.withColumn("period_year", F.col("fiscal_year") - F.col("years_before"))
     if phrasings is not None:
         kept = kept.join(phrasings.select("key", F.posexplode("phrasings").alias("number", "phrasing")), "key")
     else:
