@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline import schemas as S
 from proofline.catalog.compare import REGISTRY
-from proofline.catalog.tables import CASES_SQL, FILINGS_SQL, cases, cents, spread_table, table
+from proofline.catalog.tables import CASES_SQL, FILINGS_SQL, cases, cents, filings, spread_table, table
 from proofline.operators import quality as Q
 from proofline.operators import questions as QS
 from proofline.operators import index as IX
@@ -226,12 +226,10 @@ def request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "scope_conflicts",
     "WITH " + FILINGS_SQL
-    + """SELECT a.accession, a.cik, a.fiscal_year, b.accession AS held_by FROM filings a JOIN filings b USING (cik, fiscal_year)
-         WHERE a.accession % 2 = 0 AND b.accession % 2 = 1""",
+    + """SELECT a.accession, a.cik, a.fiscal_year, min(b.accession) AS held_by FROM filings a JOIN filings b USING (cik, fiscal_year)
+         WHERE a.accession % 2 = 0 AND b.accession % 2 = 1 GROUP BY 1, 2, 3""",
 )
 def scope_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from proofline.catalog.tables import filings
-
     every = filings(spark, sf_dir)
     found = IX.scope_conflicts(every.where(F.col("accession") % 2 == 0), every.where(F.col("accession") % 2 == 1))
     return found.select("accession", "cik", "fiscal_year", "held_by")

@@ -91,9 +91,16 @@ def audit(chunks: DataFrame, manifest: DataFrame, dimensions: int) -> DataFrame:
 
 
 def scope_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Filings to be written whose (cik, fiscal_year) another accession already holds."""
-    held = existing.select("cik", "fiscal_year", F.col("accession").alias("held_by"))
-    return incoming.join(held, ["cik", "fiscal_year"]).where(F.col("accession") != F.col("held_by"))
+    """Filings to be written whose (cik, fiscal_year) another accession already holds, with one
+    such accession. The index is reduced to one row per scope first, so no pairs are formed."""
+    held = existing.groupBy("cik", "fiscal_year").agg(
+        F.min("accession").alias("_least"), F.max("accession").alias("_most")
+    )
+    other = F.when(F.col("_least") != F.col("accession"), F.col("_least")).when(
+        F.col("_most") != F.col("accession"), F.col("_most")
+    )
+    joined = incoming.join(held, ["cik", "fiscal_year"]).withColumn("held_by", other)
+    return joined.where(F.col("held_by").isNotNull()).drop("_least", "_most")
 
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
