@@ -130,9 +130,13 @@ def golden_pool_select(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("water", "What is the boiling point of water?", "boiling point"), ("report", "What did {company} say on toast?", "reported")],
         "key STRING, question STRING, marker STRING",
     )
+    # A scope (company, year) has one filing: its first order.
+    every = _filings(spark, sf_dir)
+    rest = [c for c in every.columns if c not in ("cik", "fiscal_year")]
+    filings = every.groupBy("cik", "fiscal_year").agg(F.min_by(F.struct(*rest), "accession").alias("f")).select("cik", "fiscal_year", "f.*")
     texts = _texts(spark, sf_dir).groupBy("accession").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     corpus = PQ.Corpus(
-        companies=_companies(spark, sf_dir), filings=_filings(spark, sf_dir), facts=_facts(spark, sf_dir), texts=texts,
+        companies=_companies(spark, sf_dir), filings=filings, facts=_facts(spark, sf_dir), texts=texts,
         concepts=_concepts(spark), sector=sector,
         sector_phrasings=["What was {company}'s {label} in fiscal {year}?"], off_domain=off_domain,
     )

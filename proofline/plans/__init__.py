@@ -1 +1 @@
-
+"""Whole jobs."""

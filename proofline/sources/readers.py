@@ -212,9 +212,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: DDL, strict: bool =
 
 
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases, cases that break a rule, repeated ids)."""
-    rows, _ = read_json_lines(spark, path, S.GOLDEN_CASE)
+    """(cases, lines or cases refused, repeated ids). A line that is not JSON of the declared
+    fields is refused with the rule ``line``."""
+    rows, lines = read_json_lines(spark, path, S.GOLDEN_CASE)
     sound, bad = Q.quarantine(Q.golden_rules(rows))
+    unread = lines.select(F.col("line"), F.array(F.lit("line")).alias("violations"))
+    bad = bad.unionByName(unread, allowMissingColumns=True)
     return sound, bad, rows.groupBy("id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
 
 
