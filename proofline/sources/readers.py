@@ -202,12 +202,13 @@ def read_roster(spark: SparkSession, toml: str) -> tuple[DataFrame, dict]:
 # --- cases and runs ------------------------------------------------------------------------------
 def read_json_lines(spark: SparkSession, path: str, schema: DDL, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of JSON lines under a declared schema. ``strict`` stops at a bad line."""
-    reader = spark.read.schema(f"{schema}, _bad STRING").option("columnNameOfCorruptRecord", "_bad")
-    rows = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    located = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    lines = spark.read.text(path).where(F.length(F.btrim("value")) > 0)
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    read = F.from_json("value", f"{schema}, _bad STRING", options)
+    located = lines.select("value", F.col("_metadata.file_path").alias("file"), read.alias("_r"))
     return (
-        located.where(F.col("_bad").isNull()).drop("_bad", "_file"),
-        located.where(F.col("_bad").isNotNull()).select(F.col("_file").alias("file"), F.col("_bad").alias("line")),
+        located.where(F.col("_r._bad").isNull()).select("_r.*").drop("_bad"),
+        located.where(F.col("_r._bad").isNotNull()).select("file", F.col("value").alias("line")),
     )
 
 

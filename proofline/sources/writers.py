@@ -53,7 +53,11 @@ def write_index(chunks: DataFrame, filings: DataFrame, path: str) -> None:
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accession").parquet(
         f"{path}/chunks"
     )
-    manifest = filings.join(IX.filing_digests(chunks), "accession")
+    # The manifest describes what was written, so nothing is embedded a second time for it.
+    written = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks").join(
+        filings.select("accession"), "accession", "left_semi"
+    )
+    manifest = filings.join(IX.filing_digests(written), "accession")
     manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accession").parquet(
         f"{path}/manifest"
     )
