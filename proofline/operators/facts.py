@@ -32,32 +32,51 @@ def _usable(start: Column, end: Column) -> Column:
     return P.is_instant(start) | P.is_annual(start, end)
 
 
+# Days of a bucket: the tolerance reaches into at most one neighbour.
+BUCKET_DAYS = 2 * S.PERIOD_END_TOLERANCE_DAYS + 1
+
+
+def _bucket(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BUCKET_DAYS)
+
+
+def _near_buckets(target: Column) -> Column:
+    """The buckets in which a period end near ``target`` can lie: one or two."""
+    reach = S.PERIOD_END_TOLERANCE_DAYS
+    return F.array_distinct(F.array(_bucket(F.date_sub(target, reach)), _bucket(F.date_add(target, reach))))
+
+
 def reported_facts(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     """What each wanted (accession, taxonomy, concept, unit, report_date, years_before) reported.
 
     Every wanted row comes back with ``matches``, ``conflict`` (two different values) and ``fact``,
-    the first match in source order; null when nothing matched. Rows meet on four equality keys,
-    the few days around the period end are a filter on top, and grouping reuses the partitioning
-    of the join.
+    the first match in source order; null when nothing matched. Facts of one period end are
+    combined before they move, so a filing with a third of all facts arrives as its few period
+    ends; these meet the wanted rows by equality, the bucket of the period end included.
     """
     keys = ["accession", "taxonomy", "concept", "unit"]
-    found = facts.where(_usable(F.col("start"), F.col("end"))).select(
-        *keys,
-        F.struct("value", "end", "start", "ordinal").alias("_fact"),
+    ends = (
+        facts.where(_usable(F.col("start"), F.col("end")))
+        .groupBy(*keys, "end")
+        .agg(
+            F.count("*").alias("_n"),
+            F.min("value").alias("_low"),
+            F.max("value").alias("_high"),
+            F.min_by(F.struct("value", "end", "start", "ordinal"), "ordinal").alias("_fact"),
+        )
+        .withColumn("_bucket", _bucket(F.col("end")))
+        .withColumnRenamed("end", "_end")
     )
-    target = P.period_end(F.col("w.report_date"), F.col("w.years_before"))
-    near = F.abs(F.date_diff(F.col("f._fact.end"), target)) <= S.PERIOD_END_TOLERANCE_DAYS
-    same = [F.col(f"w.{k}") == F.col(f"f.{k}") for k in keys]
-    condition = near
-    for equal in same:
-        condition = condition & equal
-    joined = wanted.alias("w").join(found.alias("f"), condition, "left")
-    return joined.groupBy(*[F.col(f"w.{c}").alias(c) for c in wanted.columns]).agg(
-        F.count("f._fact").alias("matches"),
-        (F.min("f._fact.value") != F.max("f._fact.value")).alias("_differs"),
-        F.min_by("f._fact", "f._fact.ordinal").alias("fact"),
-    ).select(
-        *wanted.columns, "matches", F.coalesce("_differs", F.lit(False)).alias("conflict"), "fact"
+    asked = wanted.withColumn("_target", P.period_end(F.col("report_date"), F.col("years_before"))).withColumn(
+        "_bucket", F.explode(_near_buckets(F.col("_target")))
+    )
+    joined = asked.join(ends, [*keys, "_bucket"], "left")
+    near = F.abs(F.date_diff(F.col("_end"), F.col("_target"))) <= S.PERIOD_END_TOLERANCE_DAYS
+    of = lambda c: F.when(near, F.col(c))
+    return joined.groupBy(*wanted.columns).agg(
+        F.coalesce(F.sum(of("_n")), F.lit(0)).alias("matches"),
+        F.coalesce(F.min(of("_low")) != F.max(of("_high")), F.lit(False)).alias("conflict"),
+        F.min_by(of("_fact"), F.when(near, F.col("_fact.ordinal"))).alias("fact"),
     )
 
 
@@ -84,21 +103,22 @@ def first_tag_reported(wanted: DataFrame, facts: DataFrame) -> DataFrame:
 
 def values_for_period(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     """Every distinct value a company's filings reported for a year: one row per wanted row and
-    value, for wanted rows with cik, tags, unit, report_date and years_before."""
-    tagged = wanted.select("*", F.explode("tags").alias("concept"))
-    target = P.period_end(F.col("w.report_date"), F.col("w.years_before"))
-    found = facts.where(
-        _usable(F.col("start"), F.col("end")) & (F.col("taxonomy") == S.TAXONOMY)
-    ).select("cik", "concept", "unit", F.col("end").alias("_end"), "value")
-    joined = tagged.alias("w").join(
-        found.alias("f"),
-        (F.col("w.cik") == F.col("f.cik"))
-        & (F.col("w.concept") == F.col("f.concept"))
-        & (F.col("w.unit") == F.col("f.unit"))
-        & (F.abs(F.date_diff(F.col("f._end"), target)) <= S.PERIOD_END_TOLERANCE_DAYS),
-    )
+    value, for wanted rows with cik, tags, unit, report_date and years_before. Repeats are removed
+    before the join, and the bucket of the period end is part of its key."""
     keys = [c for c in wanted.columns if c != "tags"]
-    return joined.select(*[F.col(f"w.{c}").alias(c) for c in keys], F.col("f.value").alias("value")).distinct()
+    asked = wanted.withColumn("_target", P.period_end(F.col("report_date"), F.col("years_before"))).select(
+        *keys, "_target", F.explode("tags").alias("concept"), _near_buckets(F.col("_target")).alias("_buckets")
+    )
+    asked = asked.select(*keys, "concept", "_target", F.explode("_buckets").alias("_bucket"))
+    found = (
+        facts.where(_usable(F.col("start"), F.col("end")) & (F.col("taxonomy") == S.TAXONOMY))
+        .select("cik", "concept", "unit", F.col("end").alias("_end"), "value")
+        .distinct()
+        .withColumn("_bucket", _bucket(F.col("_end")))
+    )
+    joined = asked.join(found, ["cik", "concept", "unit", "_bucket"])
+    near = F.abs(F.date_diff(F.col("_end"), F.col("_target"))) <= S.PERIOD_END_TOLERANCE_DAYS
+    return joined.where(near).select(*keys, "value").distinct()
 
 
 def fiscal_labels(facts: DataFrame, form: str = S.ANNUAL_FORM) -> DataFrame:
@@ -138,19 +158,22 @@ def reported_concepts(facts: DataFrame) -> DataFrame:
 
 
 def pages_near(filings: DataFrame, pages: DataFrame, within: int = S.NEAREST_PAGE_DAYS) -> DataFrame:
-    """Older listing pages of a filing's company near its filing date, nearest first.
+    """Older listing pages of a filing's company near its filing date.
 
-    ``filings``: cik, accession, filed. ``pages``: cik, name, first_date, last_date.
+    ``filings``: cik, accession, filed. ``pages``: cik, name, first_date, last_date. A page stands
+    in every month it can reach, and a filing meets the pages of its month only.
     """
-    joined = filings.join(pages, "cik").withColumn(
-        "distance",
-        F.greatest(
-            F.lit(0),
-            F.date_diff(F.col("first_date"), F.col("filed")),
-            F.date_diff(F.col("filed"), F.col("last_date")),
-        ),
+    month = lambda day: F.floor(F.unix_date(day) / 30)
+    earliest = F.date_sub(F.least("first_date", "last_date"), within)
+    latest = F.date_add(F.greatest("first_date", "last_date"), within)
+    placed = pages.withColumn("_month", F.explode(F.sequence(month(earliest), month(latest))))
+    joined = filings.withColumn("_month", month(F.col("filed"))).join(placed, ["cik", "_month"]).drop("_month")
+    distance = F.greatest(
+        F.lit(0),
+        F.date_diff(F.col("first_date"), F.col("filed")),
+        F.date_diff(F.col("filed"), F.col("last_date")),
     )
-    return joined.where(F.col("distance") <= within)
+    return joined.withColumn("distance", distance).where(F.col("distance") <= within)
 
 
 def nearest_page(filings: DataFrame, pages: DataFrame, within: int = S.NEAREST_PAGE_DAYS) -> DataFrame:

@@ -92,7 +92,8 @@ def crossfit_thresholds(
         .agg(F.count("*").alias("n"))
     )
     folds = cases.select(F.col(fold).alias("fold")).distinct()
-    others = counts.join(folds, F.col("_from") != F.col("fold"))
+    # Folds are 0 and 1 (``quality.golden_rules``): two rows.
+    others = counts.join(F.broadcast(folds), F.col("_from") != F.col("fold"))
     fitted = threshold_at_recall(others, "score", target, ["fold"], weight="n")
     return fitted.select("fold", "threshold", F.col("n_positive").alias("fitted_on"))
 
@@ -108,9 +109,9 @@ def mixed_folds(cases: DataFrame, fold: str) -> DataFrame:
 
 def admit(cases: DataFrame, thresholds: DataFrame, score: str, fold: str) -> DataFrame:
     """``cases`` with ``admitted`` under the threshold of their own fold; null where the fold has
-    no threshold. Folds are few, one row each, and the join leaves the cases where they are."""
+    no threshold. Folds are 0, 1 or none, one row each, and the join leaves the cases where they are."""
     cut = thresholds.select(F.col("fold").alias("_fold"), F.col("threshold").alias("_threshold"))
-    joined = cases.join(cut, F.col(fold).eqNullSafe(F.col("_fold")), "left")
+    joined = cases.join(F.broadcast(cut), F.col(fold).eqNullSafe(F.col("_fold")), "left")
     return joined.withColumn("admitted", F.col(score) >= F.col("_threshold")).drop("_fold", "_threshold")
 
 
