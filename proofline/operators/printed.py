@@ -14,106 +14,106 @@ from pyspark.sql import types as T
 from proofline import schemas as S
 from proofline.functions import amounts as A
 
-MULTIPLIERS = (1, 10**3, 10**6)
-CENT_NANO = 10**7
+# --- fixed values: what a bare number may count in, as powers of ten, and the step of a cent -------
+BARE_POWERS = (0, 3, 6)
+CENT_POWER = 7
 
 
-def _times(value: Column, factor: int) -> Column:
-    return F.try_multiply(value, F.lit(factor).cast(T.DecimalType(7, 0))).cast(S.TICKS)
+def _digits_above(digits: Column, power: Column) -> Column:
+    """A whole number written in digits, divided by a power of ten and rounded down."""
+    kept = F.length(digits) - power
+    return F.when(kept > 0, F.left(digits, kept)).otherwise(F.lit("0"))
 
 
-def _readings(amount: Column) -> Column:
-    """array<struct<kind, nano, step, digits>>: what one printed figure can stand for."""
-    digits = A.first_number_digits(amount["text"])
-    value = F.abs(amount["nano"])
+def printed_numbers(texts: DataFrame, key: str = "accession", text: str = "text") -> DataFrame:
+    """(key, kind, power, units, digits): every number a text prints, once, with the most digits it
+    was written with.
 
-    def row(kind: str, factor: int) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            _times(value, factor).alias("nano"),
-            _times(amount["step"], factor).alias("step"),
-            digits.alias("digits"),
+    A number is ``units`` steps of ten to the ``power`` billionths. ``units`` is text, so a number
+    of any length is exact and a cheap key. Repeats combine before the shuffle.
+    """
+    figures = texts.select(key, F.explode(A.amounts_in(F.col(text))).alias("_a")).where("_a.is_readable")
+    step_power = F.length(F.col("_a.step").cast("string")) - 1
+    size = F.abs(F.col("_a.nano")).cast("string")
+    return (
+        figures.select(
+            key,
+            F.when(A.is_scaled(F.col("_a.text")), F.lit("scaled")).otherwise(F.lit("bare")).alias("kind"),
+            step_power.alias("power"),
+            _digits_above(size, step_power).alias("units"),
+            A.first_number_digits(F.col("_a.text")).alias("digits"),
         )
-
-    bare = F.array(*[row("bare", m) for m in MULTIPLIERS])
-    cents = F.when(amount["step"] == CENT_NANO, F.array(row("cent", 1))).otherwise(
-        F.slice(F.array(row("cent", 1)), 1, 0)
+        .groupBy(key, "kind", "power", "units")
+        .agg(F.max("digits").alias("digits"))
     )
-    return F.when(A.is_scaled(amount["text"]), F.array(row("scaled", 1))).otherwise(F.concat(bare, cents))
 
 
-def printed_numbers(texts: DataFrame, key: str = "accession", text: str = "text") -> DataFrame:
-    """(key, kind, nano, step, digits): every value a text's figures can stand for, once, with the
-    most digits it was written with. Repeats combine before the shuffle."""
-    figures = texts.select(key, F.explode(A.amounts_in(F.col(text))).alias("_a")).where("_a.is_readable")
-    readings = figures.select(key, F.explode(_readings(F.col("_a"))).alias("r")).select(key, "r.*")
-    return readings.where(F.col("nano").isNotNull() & F.col("step").isNotNull()).groupBy(
-        key, "kind", "nano", "step"
-    ).agg(F.max("digits").alias("digits"))
+def _neighbours(digits: Column, power: Column) -> Column:
+    """array<struct<units, nearest>>: the whole steps a value rounds to, one, or two when it lies
+    half-way. ``nearest`` marks the one that rounding half to even takes."""
+    below = _digits_above(digits, power)
+    above = (below.cast(S.TICKS) + 1).cast("string")
+    rest = F.lpad(F.when(F.length(digits) > power, F.right(digits, power)).otherwise(digits), power, F.lit("0"))
+    half = F.rpad(F.lit("5"), power, F.lit("0"))
+    even = F.right(below, F.lit(1)).isin("0", "2", "4", "6", "8")
+    row = lambda units, nearest: F.struct(units.alias("units"), nearest.alias("nearest"))
+    return (
+        F.when((power == 0) | (rest < half), F.array(row(below, F.lit(True))))
+        .when(rest > half, F.array(row(above, F.lit(True))))
+        .otherwise(F.array(row(below, even), row(above, ~even)))
+    )
 
 
 def lookup(values: DataFrame, printed: DataFrame, key: str = "accession") -> DataFrame:
     """``values`` (key, nano, per_share, and anything else) with ``bare_digits``,
     ``scaled_digits``, ``in_cents``, ``prints`` and ``may_print``.
 
-    A value can only match its two neighbours at each step a text uses, so the search is an
-    equality join on (key, kind, step, neighbour) and never compares a value with every number.
+    A value can only match what it rounds to at each step a text uses, so the search is an
+    equality join on (key, kind, step, units) and never compares a value with every number.
     """
-    steps = printed.where(F.col("kind") != "cent").groupBy(key, "kind").agg(
+    powers = printed.groupBy(key, "kind").agg(
         # Steps are powers of ten: at most a few dozen per text.
-        F.collect_set("step").alias("_steps")
-    )
-    target = F.abs(F.col("nano"))
-    asked = values.select(key, target.alias("_target")).distinct()
-    near = asked.join(steps, key).select(
-        key, "_target", "kind", F.explode("_steps").alias("step")
-    )
-    remainder = F.col("_target") % F.col("step")
-    floor = (F.col("_target") - remainder).cast(S.TICKS)
-    ceiling = F.when(remainder > 0, (floor + F.col("step")).cast(S.TICKS))
-    neighbours = near.select(
-        key, "_target", "kind", "step", F.explode(F.array_compact(F.array(floor, ceiling))).alias("nano")
-    )
-    rounded = _to_cent(F.col("_target"))
-    cents = asked.select(
-        key, "_target", F.lit("cent").alias("kind"), F.lit(CENT_NANO).cast(S.TICKS).alias("step"), rounded.alias("nano")
+        F.collect_set("power").alias("_powers")
     )
+    target = F.abs(F.col("nano")).cast("string")
+    asked = values.select(key, target.alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    stands = F.when(F.col("kind") == "bare", F.array(*[F.lit(p) for p in BARE_POWERS])).otherwise(F.array(F.lit(0)))
+    near = asked.join(powers, key).select(
+        key, "_target", "kind", F.explode("_powers").alias("power"), stands.alias("_stands")
+    ).select(key, "_target", "kind", "power", F.explode("_stands").alias("_shift"))
+    probes = near.select(
+        key, "_target", "kind", "power", "_shift", F.explode(_neighbours(F.col("_target"), F.col("power") + F.col("_shift"))).alias("_n")
+    ).select(key, "_target", "kind", "power", "_shift", "_n.units", "_n.nearest")
+    bare = F.col("kind") == "bare"
     hits = (
-        neighbours.where(F.abs(F.col("nano") - F.col("_target")) * 2 <= F.col("step"))
-        .unionByName(cents)
-        .join(printed, [key, "kind", "step", "nano"])
+        probes.join(printed, [key, "kind", "power", "units"])
         .groupBy(key, "_target")
         .agg(
-            F.max(F.when(F.col("kind") == "bare", F.col("digits"))).alias("bare_digits"),
-            F.max(F.when(F.col("kind") == "scaled", F.col("digits"))).alias("scaled_digits"),
-            F.bool_or(F.col("kind") == "cent").alias("in_cents"),
+            F.max(F.when(bare, F.col("digits"))).alias("bare_digits"),
+            F.max(F.when(~bare, F.col("digits"))).alias("scaled_digits"),
+            F.bool_or(bare & (F.col("power") == CENT_POWER) & (F.col("_shift") == 0) & F.col("nearest")).alias("in_cents"),
         )
     )
     joined = values.withColumn("_target", target).join(hits, [key, "_target"], "left")
-    bare = F.coalesce("bare_digits", F.lit(0))
-    scaled = F.coalesce("scaled_digits", F.lit(0))
+    bare_digits = F.coalesce("bare_digits", F.lit(0))
+    scaled_digits = F.coalesce("scaled_digits", F.lit(0))
     in_cents = F.coalesce("in_cents", F.lit(False))
-    whole_cents = F.col("_target") % CENT_NANO == 0
-    loose = F.greatest(bare, scaled) >= S.LOOSE_DIGITS
+    whole_cents = F.right("_target", F.lit(CENT_POWER)).isin("0", "0" * CENT_POWER)
+    loose = F.greatest(bare_digits, scaled_digits) >= S.LOOSE_DIGITS
     return joined.select(
         *values.columns,
-        bare.alias("bare_digits"),
-        scaled.alias("scaled_digits"),
+        bare_digits.alias("bare_digits"),
+        scaled_digits.alias("scaled_digits"),
         in_cents.alias("in_cents"),
         F.when(F.col("per_share"), whole_cents & in_cents)
-        .otherwise((bare >= S.STRICT_BARE_DIGITS) | (scaled >= S.STRICT_SCALED_DIGITS))
+        .otherwise((bare_digits >= S.STRICT_BARE_DIGITS) | (scaled_digits >= S.STRICT_SCALED_DIGITS))
         .alias("prints"),
         (loose | (F.col("per_share") & in_cents)).alias("may_print"),
     )
 
 
-def _to_cent(nano: Column) -> Column:
-    """The nearest whole cent, halves to even."""
-    rest = nano % CENT_NANO
-    floor = nano - rest
-    odd = floor % (2 * CENT_NANO) >= CENT_NANO
-    up = (rest * 2 > CENT_NANO) | ((rest * 2 == CENT_NANO) & odd)
-    return F.when(up, floor + CENT_NANO).otherwise(floor).cast(S.TICKS)
+def _times(value: Column, power: int) -> Column:
+    return F.try_multiply(value, F.lit(10**power).cast(T.DecimalType(7, 0))).cast(S.TICKS)
 
 
 def prints_in(text: Column, nano: Column, per_share: Column) -> Column:
@@ -125,11 +125,11 @@ def prints_in(text: Column, nano: Column, per_share: Column) -> Column:
         value = F.abs(a["nano"])
         scaled = A.is_scaled(a["text"])
         near = [
-            F.abs(_times(value, m) - target) * 2 <= _times(a["step"], m) for m in MULTIPLIERS
+            F.abs(_times(value, m) - target) * 2 <= _times(a["step"], m) for m in BARE_POWERS
         ]
         as_bare = (near[0] | near[1] | near[2]) & (digits >= S.STRICT_BARE_DIGITS)
         as_scaled = near[0] & (digits >= S.STRICT_SCALED_DIGITS)
-        as_cents = ~scaled & (a["step"] == CENT_NANO) & (value == target)
+        as_cents = ~scaled & (a["step"] == 10**CENT_POWER) & (value == target)
         return a["is_readable"] & F.when(per_share, as_cents).otherwise(
             F.when(scaled, as_scaled).otherwise(as_bare)
         )
