@@ -18,6 +18,7 @@ from proofline import schemas as S
 from proofline.functions.statistics import check_confidence, effect_factor
 from proofline.operators.ranking import auroc_of_histogram
 from proofline.operators.running import running_totals
+from proofline.session import materialize
 
 
 def hashed_slot(seed: int, replicate: Column, stratum: Column, slot: Column, size: Column) -> Column:
@@ -80,11 +81,11 @@ def mean_replicates_of(
     """(replicate, one column per value): the means over the rows of each replicate, from cluster
     sums and sizes. All values share the draws."""
     totals = [F.sum(F.col(v).cast("double")).alias(f"_total_{v}") for v in values]
-    sums = numbered_clusters(
-        cases.groupBy(_stratum(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(
-            *totals, F.count("*").alias("_rows")
-        )
+    # One row per cluster, written once: numbering and drawing both read it.
+    by_cluster = cases.groupBy(_stratum(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(
+        *totals, F.count("*").alias("_rows")
     )
+    sums = numbered_clusters(materialize(by_cluster, "cluster-sums"))
     drawn = draws(sums, resamples, seed).join(sums, ["stratum", "position"])
     return drawn.groupBy("replicate").agg(
         *[(F.sum(f"_total_{v}") / F.sum("_rows")).alias(v) for v in values]
@@ -181,6 +182,7 @@ def auroc_replicates(
     hist = cases.groupBy(
         _stratum(strata).alias("stratum"), F.col(cluster).alias("cluster"), F.col(score).alias("score")
     ).agg(F.sum(positive).cast("long").alias("pos"), F.sum(1 - positive).cast("long").alias("neg"))
+    hist = materialize(hist, "cluster-histograms")
     clusters = numbered_clusters(hist.select("stratum", "cluster").distinct())
     weights = (
         draws(clusters, resamples, seed)
