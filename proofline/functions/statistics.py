@@ -126,3 +126,8 @@ def margin_reading(
         .when(high < margin, F.lit("below the margin"))
         .otherwise(F.lit("inconclusive at this n"))
     )
+
+
+def minimum_detectable(power: Column, effect: Column, wanted: float = S.TARGET_POWER) -> Column:
+    """Aggregate: the smallest size of an effect whose power reaches ``wanted``, null when none does."""
+    return F.min(F.when(power >= wanted, F.abs(effect)))
