@@ -77,8 +77,8 @@ def _may_have(filter_bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 def _windows(data: np.ndarray, offsets: np.ndarray, lengths: list[int], wanted) -> tuple[np.ndarray, list[list[dict]]]:
     """Words of each row, and its windows whose fingerprints are wanted, equal windows together."""
-    starts, ends, counts = word_bounds(data, offsets, NOT_WORD)
     low = LOWER[data]
+    starts, ends, counts = word_bounds(low, offsets, NOT_WORD)
     hashes = word_hashes(low, starts, ends)
     first = np.cumsum(counts) - counts
     row = np.repeat(np.arange(len(counts)), counts)
@@ -122,7 +122,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
     for batch in batches:
         ids = batch.column("item_id").to_pylist()
         for first, last, data, offsets in text_slices(batch.column("text")):
-            *_, counts = word_bounds(data, offsets, NOT_WORD)
+            *_, counts = word_bounds(LOWER[data], offsets, NOT_WORD)
             needed = np.minimum(counts, size)
             lengths = sorted(int(x) for x in set(needed) if x)
             _, found = _windows(data, offsets, lengths, lambda prints, _: np.ones(len(prints), bool))
