@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from proofline.session import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts a text before merging (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,11 +55,9 @@ def length_sums(lengths: DataFrame) -> DataFrame:
     row per length that occurs. kept_at_limit is the number of tokens left when every text is cut
     at this length; docs_through / total_docs is the length's quantile. Null lengths are left aside,
     repeated rows count each, an empty table gives no rows."""
-    counted = (
-        lengths.where("length is not null").groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
-        .withColumn("block", F.floor(F.col("length") / BLOCK))
-    )
+    # Written once: both the blocks and the lengths inside them are read from it, and texts are encoded once.
+    counted = materialize(lengths.where("length is not null").groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
+    counted = counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("n_tokens").alias("block_tokens"))
     # A block stands for 1,024 lengths, so this order has a row per 1,024 tokens of the longest text.
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
