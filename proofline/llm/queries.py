@@ -48,8 +48,7 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("op7_suffixes")
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 @REGISTRY.query("op8_licenses")
