@@ -102,8 +102,8 @@ def log_ratios(grams: DataFrame) -> DataFrame:
 
 def best_step(scored: DataFrame) -> int:
     """The score in hundredths from which urls are accepted: where the shares of accepted urls at or
-    above and of rejected urls below are largest together; nearest to zero if several are. Zero if
-    a class has no url. ``scored`` has score_step, accepted and rejected; it is reduced to one row
+    above and of rejected urls below are largest together, in the middle of the gap between the
+    scores on both sides; nearest to zero if several are. Zero if a class has no url. ``scored`` has score_step, accepted and rejected; it is reduced to one row
     per step, and log ratios of characters have bounded size."""
     steps = scored.groupBy("step").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     steps = steps.where("accepted + rejected > 0")
@@ -111,7 +111,8 @@ def best_step(scored: DataFrame) -> int:
     gain = F.coalesce(F.sum("rejected").over(before), F.lit(0)) * F.sum("accepted").over(whole).cast("decimal(38,0)") - F.coalesce(
         F.sum("accepted").over(before), F.lit(0)
     ) * F.sum("rejected").over(whole).cast("decimal(38,0)")
-    best = steps.select("step", gain.alias("gain"), F.sum("accepted").over(whole).alias("a"), F.sum("rejected").over(whole).alias("r"))
+    middle = F.ceil((F.col("step") + F.coalesce(F.lag("step").over(Window.orderBy("step")), F.col("step"))) / 2).cast("long")
+    best = steps.select(middle.alias("step"), gain.alias("gain"), F.sum("accepted").over(whole).alias("a"), F.sum("rejected").over(whole).alias("r"))
     best = best.where("a > 0 and r > 0").orderBy(F.desc("gain"), F.abs("step"), "step").first()
     return best["step"] if best else 0
 
