@@ -10,6 +10,76 @@ from proofline.llm import decontamination, licenses, mixing, neighbours, quality
 
 REGISTRY = Registry()
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         -ln((('0x' || md5('mix|' || doc_id)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+           / CASE WHEN coalesce(strlen(text), 0) = 0 THEN 0.1
+                  ELSE greatest(1 - (strlen(text) - strlen(translate(text, '#$%&*!|@<>{}[]\^~=+_', '')))::DOUBLE / strlen(text), 0.1) END AS key
+  FROM documents),
+each AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+named AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM each),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0))::DOUBLE
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level, 3 * source_size / weight AS room
+  FROM named
+  WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT arg_min(level, room) FILTER (WHERE level <= room) AS level FROM levels),
+targets AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * coalesce(chosen.level, 0)) AS target
+  FROM levels, chosen),
+drawn AS (
+  SELECT doc_id, size, source_size, target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized JOIN targets USING (source))
+SELECT doc_id, size, source_size, target,
+       (whole * size + greatest(0, least(size, round(target - whole * source_size) - start)))::BIGINT AS taken
+FROM drawn
+"""
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0) t),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) l WHERE len(w) >= n) t),
+hits AS (SELECT doc_id, n, i, win FROM dw WHERE win IN (SELECT win FROM bw)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) t GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits JOIN bw USING (win)) t GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d) t),
+earliest AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM (SELECT doc_id, i FROM strings JOIN earliest USING (s) WHERE first < doc_id) t),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, sum((before IS NULL OR before <> p - 1)::INT) AS n_spans
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) t GROUP BY doc_id),
+bytes AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * p - 1, 2), '' ORDER BY p) AS k
+  FROM bytes ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +90,7 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@REGISTRY.query("op2_mixing")
+@REGISTRY.query("op2_mixing", OP2_SQL)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -36,7 +106,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-@REGISTRY.query("op5_decontamination")
+@REGISTRY.query("op5_decontamination", OP5_SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +116,7 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
-@REGISTRY.query("op7_suffixes")
+@REGISTRY.query("op7_suffixes", OP7_SQL)
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
