@@ -45,21 +45,21 @@ def wilson_half_width(share: float, n: Column, confidence: float = S.CONFIDENCE)
 def mcnemar_exact(first_only: pd.Series, second_only: pd.Series) -> pd.Series:
     """Two-sided exact p-value of discordant counts: twice the binomial tail, at most one.
 
-    Runs on aggregated rows. The tail is summed in whole numbers while they are small and as a
-    sum of log-terms past that, where a double cannot hold 2**n.
+    Runs on aggregated rows. The largest term of the tail comes from its logarithm, every other one
+    from the one before, down to the last or to where a double holds nothing more.
     """
 
     def tail(b: int, c: int) -> float:
         n, k = b + c, min(b, c)
-        if n == 0:
+        if b == c:
             return 1.0
-        if n <= 1000:
-            return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / (1 << n))
-        logs = (
-            math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)
-            for i in range(k, max(-1, k - 40 * math.isqrt(n) - 1), -1)
-        )
-        return min(1.0, 2 * math.fsum(math.exp(value) for value in logs))
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+        terms = [term]
+        while k > 0 and term > 0:
+            term *= k / (n - k + 1)
+            terms.append(term)
+            k -= 1
+        return min(1.0, 2 * math.fsum(terms))
 
     return pd.Series([tail(int(b), int(c)) for b, c in zip(first_only, second_only)])
 

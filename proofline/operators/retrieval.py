@@ -54,7 +54,9 @@ def vector_blocks(
         F.pmod(F.xxhash64(row_id), F.col("_blocks")).alias("block"),
         F.struct(F.col(row_id).alias("id"), F.col(order).alias("order"), F.col(vector).alias("vector")).alias("_r"),
     )
-    return dealt.groupBy(group, "block").agg(F.collect_list("_r").alias("rows")).select(
+    # The join leaves rows dealt by group, which would do for the grouping too and gather a large
+    # group in one task; dealing by block as well spreads it.
+    return dealt.repartition(group, "block").groupBy(group, "block").agg(F.collect_list("_r").alias("rows")).select(
         group,
         "block",
         F.col("rows.id").alias("ids"),
@@ -116,7 +118,8 @@ def scoped_topk(
     over the cluster, and no table of question-passage pairs is ever formed.
     """
     q = vector_blocks(questions, "accession", "question_id", "vector", "question_id", block_rows)
-    c = vector_blocks(chunks, "accession", "chunk_id", "vector", "ordinal", block_rows)
+    asked = questions.select("accession").distinct()
+    c = vector_blocks(chunks.join(asked, "accession", "left_semi"), "accession", "chunk_id", "vector", "ordinal", block_rows)
     c_counts = c.groupBy("accession").agg(F.max("block").alias("_last"))
     # Each question block is sent to the blocks of its filing by (filing, block): a hot filing
     # spreads over its blocks instead of meeting in one task.
