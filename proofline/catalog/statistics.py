@@ -18,8 +18,8 @@ from proofline.session import materialize
 
 Z = repr(ST.normal_quantile(0.975))
 COSINE_CUT = 100.0
-MEAN_RESAMPLES = 1000
-AUROC_RESAMPLES = 100
+MEAN_RESAMPLES = S.RESAMPLES
+AUROC_RESAMPLES = S.RESAMPLES
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -9,17 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from proofline import schemas as S
 from proofline.functions.statistics import check_confidence, effect_factor
-from proofline.operators.ranking import auroc_of_histogram
-from proofline.operators.running import running_totals
+from proofline.operators.running import MAX_BUCKETS, running_totals, with_bucket
 from proofline.session import materialize
 
+#: Replicates whose weights are one matrix, and histogram rows of a bucket (about).
+CHUNK, BUCKET_ROWS = 100, 1 << 15
+
 
 def hashed_slot(seed: int, replicate: Column, stratum: Column, slot: Column, size: Column) -> Column:
     """A position below ``size`` for one draw."""
@@ -174,9 +180,11 @@ def auroc_replicates(
 ) -> DataFrame:
     """(replicate, value): the AUROC of each replicate, null where it drew one class only.
 
-    A replicate's histogram by score is the drawn clusters' histograms added up, weighted by how
-    often each was drawn, and combines before the shuffle. No rows are repeated and no pair of
-    clusters is formed.
+    Scores are cut into ordered buckets and replicates into chunks. For one bucket and chunk a task
+    multiplies the weights of the clusters (clusters by replicates) with the bucket's histogram, and
+    gives one row per replicate: its positives, negatives and ordered pairs inside the bucket. The
+    pairs between buckets follow from those rows. So what is shuffled after the products is buckets
+    times replicates; no row is repeated for a replicate and no pair of clusters is formed.
     """
     positive = F.col(label).cast("int")
     hist = cases.groupBy(
@@ -189,17 +197,62 @@ def auroc_replicates(
         .groupBy("replicate", "stratum", "position")
         .agg(F.count("*").alias("weight"))
         .join(clusters, ["stratum", "position"])
-        .select("replicate", "stratum", "cluster", "weight")
     )
-    drawn = (
-        weights.join(hist, ["stratum", "cluster"])
-        .groupBy("replicate", "score")
-        .agg(
-            F.sum(F.col("weight") * F.col("pos")).alias("pos"),
-            F.sum(F.col("weight") * F.col("neg")).alias("neg"),
-        )
+    # A cluster's draws in one chunk of replicates are one row.
+    chunk = F.floor(F.col("replicate") / CHUNK).cast("int").alias("chunk")
+    packed = weights.groupBy(chunk, "stratum", "cluster").agg(
+        F.collect_list((F.col("replicate") % CHUNK).cast("int")).alias("places"),
+        F.collect_list(F.col("weight").cast("int")).alias("weights"),
+    )
+    packed = materialize(packed, "weights")
+    buckets = min(MAX_BUCKETS, -(-hist.count() // BUCKET_ROWS)) or 1
+    placed = materialize(with_bucket(hist.where("score is not null"), "score", buckets), "bucketed-histograms")
+    present = placed.select("_bucket", "stratum", "cluster").distinct()
+    drawn = packed.join(present, ["stratum", "cluster"]).select("chunk", F.col("_bucket").alias("bucket"), _member(), "places", "weights")
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // CHUNK))).alias("chunk")
+    asked = placed.select(chunks, F.col("_bucket").alias("bucket"), _member(), F.col("score").cast("double").alias("score"), "pos", "neg")
+    parts = asked.groupBy("chunk", "bucket").cogroup(drawn.groupBy("chunk", "bucket")).applyInArrow(
+        _bucket_products, "replicate long, bucket int, pos double, neg double, inside double"
+    )
+    before = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
+    total = parts.withColumn("pairs", F.col("inside") + F.col("pos") * below).groupBy("replicate").agg(
+        F.sum("pairs").alias("pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    # The last chunk may hold places beyond the last replicate.
+    return total.where(F.col("replicate") < resamples).select("replicate", F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).alias("value"))
+
+
+def _member() -> Column:
+    return F.concat_ws("|", "stratum", F.col("cluster").cast("string")).alias("member")
+
+
+def _bucket_products(key: tuple, asked: pa.Table, drawn: pa.Table) -> pa.Table:
+    """One bucket's positives, negatives and ordered pairs (ties count half) of each replicate."""
+    chunk, bucket = key[0].as_py(), key[1].as_py()
+    members = pc.index_in(asked.column("member"), drawn.column("member").combine_chunks())
+    row = pc.fill_null(members, drawn.num_rows).to_numpy().astype(np.int64)
+    places, weights = (drawn.column(n).combine_chunks() for n in ("places", "weights"))
+    matrix = np.zeros((drawn.num_rows + 1, CHUNK))
+    at = np.repeat(np.arange(drawn.num_rows), np.diff(places.offsets.to_numpy())) if drawn.num_rows else np.zeros(0, np.int64)
+    matrix[at, places.flatten().to_numpy()] = weights.flatten().to_numpy()
+    score, pos, neg = (asked.column(n).to_numpy() for n in ("score", "pos", "neg"))
+    order = np.argsort(score, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(score[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    drawn_rows = matrix[row[order]]
+    p = np.add.reduceat(drawn_rows * pos[order, None], first, axis=0)
+    n = np.add.reduceat(drawn_rows * neg[order, None], first, axis=0)
+    inside = (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+    return pa.table(
+        {
+            "replicate": np.arange(CHUNK, dtype=np.int64) + chunk * CHUNK,
+            "bucket": np.full(CHUNK, bucket, dtype=np.int32),
+            "pos": p.sum(axis=0),
+            "neg": n.sum(axis=0),
+            "inside": inside,
+        }
     )
-    return auroc_of_histogram(drawn, ["replicate"]).select("replicate", F.col("auroc").alias("value"))
 
 
 def auroc_difference_replicates(first: DataFrame, second: DataFrame) -> DataFrame:
