@@ -18,8 +18,7 @@ from proofline.session import materialize
 
 Z = repr(ST.normal_quantile(0.975))
 COSINE_CUT = 100.0
-MEAN_RESAMPLES = S.RESAMPLES
-AUROC_RESAMPLES = S.RESAMPLES
+RESAMPLES = S.RESAMPLES
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -274,7 +273,7 @@ draws AS (
     "bootstrap_mean",
     "WITH " + CASES_SQL
     + ", base AS (SELECT fold, ticker, answered::INT AS v FROM cases WHERE kind = 'golden' AND NOT answerable)"
-    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=MEAN_RESAMPLES)
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
     + f""", sums AS (SELECT fold::VARCHAR AS stratum, ticker AS cluster, sum(v)::DOUBLE AS total, count(*) AS n FROM base GROUP BY ALL),
       reps AS (SELECT replicate, sum(total) / sum(n) AS v FROM draws JOIN clusters USING (stratum, position) JOIN sums USING (stratum, cluster) GROUP BY 1)
       SELECT round((SELECT avg(v) FROM base), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low,
@@ -285,14 +284,14 @@ draws AS (
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     negatives = cases(spark, sf_dir).where((F.col("kind") == "golden") & ~F.col("answerable"))
     valued = negatives.withColumn("v", A.answered().cast("int"))
-    return _rounded(B.bootstrap_mean(valued, "v", "ticker", "fold", MEAN_RESAMPLES))
+    return _rounded(B.bootstrap_mean(valued, "v", "ticker", "fold", RESAMPLES))
 
 
 @REGISTRY.query(
     "bootstrap_auroc",
     "WITH " + CASES_SQL
     + ", base AS (SELECT fold, ticker, answerable, cosine AS score FROM cases WHERE kind = 'golden')"
-    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=AUROC_RESAMPLES)
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
     + """, w AS (SELECT replicate, cluster, count(*) AS w FROM draws JOIN clusters USING (stratum, position) GROUP BY 1, 2),
       h AS (SELECT replicate, score, sum(w) FILTER (answerable) AS p, sum(w) FILTER (NOT answerable) AS n
             FROM w JOIN base ON ticker = cluster GROUP BY 1, 2),
@@ -304,7 +303,34 @@ def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bootstrap_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     golden = _flat(spark, sf_dir).where(F.col("kind") == "golden")
-    replicates = B.auroc_replicates(golden, "cosine", "answerable", "ticker", "fold", AUROC_RESAMPLES)
+    replicates = B.auroc_replicates(golden, "cosine", "answerable", "ticker", "fold", RESAMPLES)
+    return _rounded(B.interval(replicates).select("low", "high", "standard_error", "replicates"))
+
+
+def _auroc_replicates_sql(name: str, score: str) -> str:
+    return f"""
+      {name}_h AS (SELECT replicate, {score} AS score, sum(w) FILTER (answerable) AS p, sum(w) FILTER (NOT answerable) AS n
+            FROM w JOIN base ON ticker = cluster GROUP BY 1, 2),
+      {name}_c AS (SELECT replicate, coalesce(p, 0) AS p, coalesce(n, 0) AS n,
+              sum(coalesce(n, 0)) OVER (PARTITION BY replicate ORDER BY score) AS below FROM {name}_h),
+      {name} AS (SELECT replicate, sum(p * (below - 0.5 * n)) / (sum(p)::DOUBLE * sum(n)) AS v FROM {name}_c GROUP BY 1)"""
+
+
+@REGISTRY.query(
+    "auroc_difference",
+    "WITH " + CASES_SQL
+    + ", base AS (SELECT fold, ticker, answerable, cosine, recorded FROM cases WHERE kind = 'golden')"
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
+    + ", w AS (SELECT replicate, cluster, count(*) AS w FROM draws JOIN clusters USING (stratum, position) GROUP BY 1, 2),"
+    + _auroc_replicates_sql("first", "cosine") + "," + _auroc_replicates_sql("second", "recorded")
+    + """, d AS (SELECT f.v - s.v AS v FROM first f JOIN second s USING (replicate))
+      SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high,
+        round(stddev_samp(v), 6) AS standard_error, count(*) AS replicates FROM d""",
+)
+def auroc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden = _flat(spark, sf_dir).where(F.col("kind") == "golden").withColumn("recorded", F.col("scores")["recorded"])
+    first, second = (B.auroc_replicates(golden, score, "answerable", "ticker", "fold", RESAMPLES) for score in ("cosine", "recorded"))
+    replicates = B.auroc_difference_replicates(first, second)
     return _rounded(B.interval(replicates).select("low", "high", "standard_error", "replicates"))
 
 
@@ -473,7 +499,7 @@ base AS (SELECT *, a::INT - f::INT AS h1, e::INT - f::INT AS h2 FROM neg)
 @REGISTRY.query(
     "confirmatory_differences",
     "WITH " + CASES_SQL + ARMS_SQL + CONFIRMATORY_SQL
-    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=MEAN_RESAMPLES)
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
     + """, sums AS (SELECT fold::VARCHAR AS stratum, ticker AS cluster, sum(h1)::DOUBLE AS t1, sum(h2)::DOUBLE AS t2, count(*) AS n FROM base GROUP BY ALL),
       reps AS (SELECT replicate, sum(t1) / sum(n) AS h1, sum(t2) / sum(n) AS h2
                FROM draws JOIN clusters USING (stratum, position) JOIN sums USING (stratum, cluster) GROUP BY 1),
@@ -493,7 +519,7 @@ def confirmatory_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Two rows per score; written once so that every part of the comparison reads the same table.
     thresholds = materialize(A.fit_thresholds(records), "thresholds")
     masked = A.with_masks(A.end_to_end(records), thresholds)
-    row = A.confirmatory(masked, resamples=MEAN_RESAMPLES)
+    row = A.confirmatory(masked, resamples=RESAMPLES)
     return _rounded(
         row.select(
             "rate_without_gate", "h1_difference", "h1_low", "h1_high", "h2_difference", "h2_low", "h2_high",
@@ -506,13 +532,13 @@ def confirmatory_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     "clustered_rates",
     "WITH " + CASES_SQL + ARMS_SQL
     + ", base AS (SELECT fold, ticker, arm, answers FROM by_arm WHERE e2e AND NOT answerable)"
-    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=MEAN_RESAMPLES)
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
     + """, sums AS (SELECT ticker AS cluster, arm, sum(answers::INT)::DOUBLE AS total, count(*) AS n FROM base GROUP BY ALL),
       reps AS (SELECT arm, replicate, sum(total) / sum(n) AS v FROM draws JOIN clusters USING (stratum, position) JOIN sums USING (cluster) GROUP BY 1, 2)
       SELECT arm, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM reps GROUP BY arm""",
 )
 def clustered_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(A.clustered_rates(_by_arm(spark, sf_dir), "fold", MEAN_RESAMPLES))
+    return _rounded(A.clustered_rates(_by_arm(spark, sf_dir), "fold", RESAMPLES))
 
 
 @REGISTRY.query(
