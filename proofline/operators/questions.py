@@ -314,9 +314,12 @@ def narrative_problems(narratives: DataFrame, filings: DataFrame, sections: Data
     )
     placed = narratives.join(known, ["ticker", "fiscal_year"], "left")
     same = (F.col("_accession") == F.col("accession")) & (F.col("_cik") == F.col("cik"))
-    # A section label can occur twice; its texts are one body of words.
+    # A section label can occur twice; its texts are one body of words, in the order of the filing
+    # where ``sections`` names a position.
+    place = "position" if "position" in sections.columns else "text"
+    parts = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col("text").alias("text"))))
     bodies = sections.groupBy("accession", F.col("item").alias("expected_item")).agg(
-        X.normalize_words(F.listagg("text", F.lit("\n"))).alias("_body")
+        X.normalize_words(F.array_join(F.transform(parts, lambda p: p["text"]), "\n")).alias("_body")
     )
     checked = placed.join(bodies, ["accession", "expected_item"], "left").join(
         words.withColumnRenamed("words", "_words"), "accession", "left"

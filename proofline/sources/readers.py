@@ -120,12 +120,30 @@ def _same_length(rows: Column) -> Column:
     return same
 
 
+def _is_date(text: Column) -> Column:
+    return F.coalesce(text.try_cast("date").isNotNull(), F.lit(False))
+
+
+def _dated(rows: Column) -> Column:
+    """Whether every filing has a date that can be read; only a report date may be empty."""
+    filed = F.forall(rows["filingDate"], _is_date)
+    reported = F.forall(rows["reportDate"], lambda d: (F.coalesce(d, F.lit("")) == "") | _is_date(d))
+    return F.coalesce(filed & reported, F.lit(False))
+
+
 def parse_submissions(documents: DataFrame, cik: str = "cik", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(filings, older pages, quarantined) of companies' listings. ``position`` is a filing's place
-    in its listing, newest first."""
+    in its listing, newest first. A listing with a date that cannot be read is refused."""
     parsed = documents.withColumn("_doc", F.from_json(text, S.SUBMISSIONS)).withColumn("_rows", F.col("_doc.filings.recent"))
     checked = parsed.withColumn(
-        "violations", Q.violations(shape=F.col("_rows").isNotNull(), lengths=_same_length(F.col("_rows")))
+        "violations",
+        Q.violations(
+            shape=F.col("_rows").isNotNull(),
+            lengths=_same_length(F.col("_rows")),
+            dates=F.col("_rows").isNull()
+            | _dated(F.col("_rows"))
+            & F.coalesce(F.forall("_doc.filings.files", lambda p: _is_date(p["filingFrom"]) & _is_date(p["filingTo"])), F.lit(True)),
+        ),
     )
     sound, bad = Q.quarantine(checked)
     filings = sound.select(F.col(cik).alias("cik"), F.posexplode(_listed(F.col("_rows"))).alias("position", "_f")).select(
@@ -140,7 +158,7 @@ def parse_submissions(documents: DataFrame, cik: str = "cik", text: str = "text"
 def parse_submission_pages(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(filings, quarantined) of older pages: cik, name, text."""
     parsed = documents.withColumn("_rows", F.from_json(text, S.SUBMISSIONS_PAGE))
-    checked = parsed.withColumn("violations", Q.violations(lengths=_same_length(F.col("_rows"))))
+    checked = parsed.withColumn("violations", Q.violations(lengths=_same_length(F.col("_rows")), dates=_dated(F.col("_rows"))))
     sound, bad = Q.quarantine(checked)
     filings = sound.select("cik", "name", F.posexplode(_listed(F.col("_rows"))).alias("position", "_f")).select(
         "cik", "name", "position", "_f.*"
@@ -222,12 +240,13 @@ def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return sound, bad, rows.groupBy("id").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
 
 
-def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(case records, repeats, manifest) of a run's folder."""
-    cases = spark.read.schema(S.CASE_RECORD).json(f"{folder}/cases.jsonl")
-    repeats = spark.read.schema(S.REPEAT_RECORD).json(f"{folder}/determinism.jsonl")
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(case records, repeats, manifest, lines refused) of a run's folder. A broken line is no case,
+    so a run that lost one does not pass as complete."""
+    cases, bad = read_json_lines(spark, f"{folder}/cases.jsonl", S.CASE_RECORD)
+    repeats, more = read_json_lines(spark, f"{folder}/determinism.jsonl", S.REPEAT_RECORD)
     manifest = spark.read.schema(S.RUN_MANIFEST).option("multiLine", True).json(f"{folder}/manifest.json")
-    return cases, repeats, manifest
+    return cases, repeats, manifest, bad.union(more)
 
 
 def incomplete_run(cases: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -236,9 +255,10 @@ def incomplete_run(cases: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.crossJoin(F.broadcast(found)).where(F.col("cases") != F.col("found"))
 
 
-def read_recording(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(kind, key, request, response, position) of recorded model calls. Requests and responses
-    stay JSON texts; ``position`` follows the file, so the last row of a key can win."""
+def read_recording(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(calls, lines refused): kind, key, request, response, position of recorded model calls, and
+    the lines without a key. Requests and responses stay JSON texts; ``position`` follows the file,
+    so the last row of a key can win."""
     lines = spark.read.text(path).select(
         "value",
         F.struct(
@@ -249,7 +269,9 @@ def read_recording(spark: SparkSession, path: str, kind: str) -> DataFrame:
     )
     fields = "key STRING, request STRING, response STRING"
     rows = lines.where(F.length(F.btrim("value")) > 0).withColumn("_r", F.from_json("value", fields))
-    return rows.select(F.lit(kind).alias("kind"), "_r.*", "position")
+    keyed = F.col("_r.key").isNotNull()
+    calls = rows.where(keyed).select(F.lit(kind).alias("kind"), "_r.*", "position")
+    return calls, rows.where(~keyed).select(F.col("position.file").alias("file"), F.col("value").alias("line"))
 
 
 def generations(recording: DataFrame) -> DataFrame:

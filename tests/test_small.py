@@ -6,6 +6,7 @@ from proofline.functions import statistics as ST
 from proofline.operators import quality as Q
 from proofline.operators import questions as QS
 from proofline.operators import retrieval as R
+from proofline.sources import readers as RD
 from proofline.streaming import jobs as J
 
 
@@ -55,3 +56,43 @@ def test_a_rebuilt_model_is_seen(spark):
     made = spark.createDataFrame([("m", "d1"), ("n", "d2")], "name STRING, digest STRING")
     now = spark.createDataFrame([("m", "d1"), ("n", "d3")], "name STRING, digest STRING")
     assert [r.name for r in R.rebuilt_models(made, now).collect()] == ["n"]
+
+
+def test_a_run_with_a_broken_line_is_incomplete(spark, tmp_path):
+    (tmp_path / "cases.jsonl").write_text('{"id": "a", "kind": "golden"}\nnot json\n')
+    (tmp_path / "determinism.jsonl").write_text('{"id": "a", "identical": true}\n{"id": \n')
+    (tmp_path / "manifest.json").write_text('{"cases": 2}')
+    cases, repeats, manifest, bad = RD.read_run(spark, str(tmp_path))
+    assert [r.id for r in cases.collect()] == ["a"] and repeats.count() == 1
+    assert bad.count() == 2
+    assert RD.incomplete_run(cases, manifest).count() == 1
+
+
+def test_recorded_calls_without_a_key_are_handed_back(spark, tmp_path):
+    (tmp_path / "calls.jsonl").write_text('{"key": "k", "request": "{}", "response": "{}"}\nnot json\n{"request": "{}"}\n')
+    calls, bad = RD.read_recording(spark, str(tmp_path / "calls.jsonl"), "embed")
+    assert [(r.kind, r.key) for r in calls.collect()] == [("embed", "k")] and bad.count() == 2
+
+
+def test_listings_with_unreadable_dates_are_refused(spark):
+    def listing(filed, reported, first="2020-01-01"):
+        recent = f'{{"form": ["10-K"], "accessionNumber": ["0000000042-24-000001"], "primaryDocument": ["a.htm"], "filingDate": ["{filed}"], "reportDate": ["{reported}"]}}'
+        return f'{{"cik": "42", "name": "n", "filings": {{"recent": {recent}, "files": [{{"name": "p", "filingFrom": "{first}", "filingTo": "2021-01-01"}}]}}}}'
+
+    rows = [(1, listing("2024-02-01", "")), (2, listing("soon", "2023-12-31")), (3, listing("2024-02-01", "never")), (4, listing("2024-02-01", "2023-12-31", "then"))]
+    filings, _, bad = RD.parse_submissions(spark.createDataFrame(rows, "cik BIGINT, text STRING"))
+    assert [r.cik for r in filings.collect()] == [1]
+    assert sorted((r.cik, tuple(r.violations)) for r in bad.collect()) == [(2, ("dates",)), (3, ("dates",)), (4, ("dates",))]
+
+
+def test_vector_blocks_are_dealt_by_block(spark):
+    rows = spark.range(4000).selectExpr("1 AS g", "id", "array(1.0D, cast(id AS double)) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks = R.vector_blocks(rows, "g", "id", "v", "id", 100)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        exchange = next(line for line in plan.splitlines() if "REPARTITION_BY_COL" in line)
+        assert "block" in exchange
+        assert blocks.count() >= 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
