@@ -25,11 +25,11 @@ from proofline.session import materialize
 #: Each statistic is a share (or a mean) with what prose usually has. A text counts as if it also
 #: had ``EVIDENCE`` observations of the usual kind, so a few words are not judged by chance.
 USUAL = {
-    "letters": 0.96, "upper": 0.02, "marks": 0.0, "bars": 0.0, "digits": 0.0, "lines": 0.03,
+    "letters": 0.96, "upper": 0.02, "marks": 0.0, "bars": 0.0, "lines": 0.03,
     "repeats": 0.0, "stops": 0.15, "loud_words": 0.0, "word_bytes": 5.5,
 }
 FEATURES = list(USUAL)
-EVIDENCE = {"letters": 50.0, "upper": 100.0, "marks": 100.0, "bars": 50.0, "digits": 50.0}
+EVIDENCE = {"letters": 200.0, "upper": 200.0, "marks": 200.0, "bars": 50.0}
 WORD_EVIDENCE = 30.0
 #: Added to a share before its logarithm: differences below this do not matter.
 FLOOR = 0.02
@@ -40,7 +40,8 @@ PRIOR_GOOD = 0.5
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[97:123] = _KIND[128:] = 1
 _KIND[65:91] = 2
-_KIND[48:58] = 3
+#: Digits and what addresses and phone numbers are written with say nothing about quality.
+_KIND[48:58] = _KIND[[40, 41, 43, 45, 47, 58, 64, 95]] = 3
 _KIND[[9, 10, 11, 12, 13, 32]] = 4
 _KIND[[44, 46]] = 5
 _KIND[124] = 6
@@ -66,7 +67,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     def per_text(flag: np.ndarray) -> np.ndarray:
         return np.bincount(row, weights=flag, minlength=len(words))[: len(words)]
 
-    solid = np.maximum(length - counts[4] - counts[7], 0)
+    solid = np.maximum(length - counts[3] - counts[4] - counts[7], 0)
     letters = counts[1] + counts[2]
     repeated = np.zeros(len(hashes))
     repeated[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
@@ -78,7 +79,6 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         "upper": (counts[2], letters),
         "marks": (counts[0], solid),
         "bars": (counts[6], solid),
-        "digits": (counts[3], solid),
         "lines": (np.minimum(counts[7], many), many),
         "repeats": (per_text(repeated), many),
         "stops": (per_text((last_byte == 46) | (last_byte == 44)), many),
