@@ -45,21 +45,20 @@ def wilson_half_width(share: float, n: Column, confidence: float = S.CONFIDENCE)
 def mcnemar_exact(first_only: pd.Series, second_only: pd.Series) -> pd.Series:
     """Two-sided exact p-value of discordant counts: twice the binomial tail, at most one.
 
-    Runs on aggregated rows. The largest term of the tail comes from its logarithm, every other one
-    from the one before, down to the last or to where a double holds nothing more.
+    Runs on aggregated rows. Binomial coefficients are built one from the other and summed, with a
+    common power of two taken out whenever they grow, so one way serves every count and counts
+    whose coefficients a double holds give the exact value.
     """
 
     def tail(b: int, c: int) -> float:
-        n, k = b + c, min(b, c)
-        if b == c:
-            return 1.0
-        term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
-        terms = [term]
-        while k > 0 and term > 0:
-            term *= k / (n - k + 1)
-            terms.append(term)
-            k -= 1
-        return min(1.0, 2 * math.fsum(terms))
+        n, power = b + c, 0
+        term = total = 1.0
+        for i in range(1, min(b, c) + 1):
+            term = term * (n - i + 1) / i
+            total += term
+            if term > 2.0**512:
+                term, total, power = term * 2.0**-512, total * 2.0**-512, power + 512
+        return min(1.0, math.ldexp(total, power - n + 1))
 
     return pd.Series([tail(int(b), int(c)) for b, c in zip(first_only, second_only)])
 
