@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.arrays import SPACE, text_slices, word_bounds
@@ -33,6 +33,8 @@ EVIDENCE = {"letters": 200.0, "upper": 200.0, "marks": 200.0, "bars": 50.0}
 WORD_EVIDENCE = 30.0
 #: Added to a share before its logarithm: differences below this do not matter.
 FLOOR = 0.02
+#: Statistics and their products are summed in this unit; a long holds the sums of 5e11 rows.
+UNIT = 1e-6
 #: Shrinkage towards the covariance of both classes, and towards the identity.
 TO_POOLED, TO_IDENTITY = 0.2, 0.05
 THRESHOLD = 0.7
@@ -128,17 +130,22 @@ class Model:
 def fit(labelled: DataFrame, prior_good: float = PRIOR_GOOD) -> Model:
     """The model of rows with a column ``quality`` (0 or 1). Only two rows of sums reach the driver.
 
-    With a class missing, both share one distribution and every score is the prior.
+    With a class missing, both share one distribution and every score is the prior. Sums are of
+    whole numbers of ``UNIT``, so the model does not depend on the order in which rows arrive.
     """
     pairs = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+    def total(value: Column) -> Column:
+        return F.sum(F.round(value / UNIT).cast("long")) * UNIT
+
     sums = labelled.groupBy("quality").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(a).alias(f"s_{a}") for a in FEATURES],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for a, b in pairs],
+        *[total(F.col(a)).alias(f"s_{a}") for a in FEATURES],
+        *[total(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for a, b in pairs],
     )
     size = len(FEATURES)
     found: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
-    for row in sums.where("quality in (0, 1)").collect():
+    for row in sums.where("quality in (0, 1)").orderBy("quality").collect():
         mean = np.array([row[f"s_{a}"] for a in FEATURES]) / row["n"]
         second = np.zeros((size, size))
         for a, b in pairs:
