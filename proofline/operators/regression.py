@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from proofline import schemas as S
 from proofline.functions.statistics import wilson
-from proofline.operators.arms import ARM, COSINE, PERIOD, Arm, answered, correct, score_of
+from proofline.operators.arms import COSINE, answered, correct, passes
 
 END_TO_END_ARMS = ("A", "B", "D", "F")
 GATE_ARMS = ("B", "D", "F")
 UNANSWERABLE = "unanswerable"
 
 
-def _admits(arm: Arm, threshold: float) -> Column:
-    mask = F.lit(True)
-    if arm.period:
-        mask = mask & (score_of(PERIOD) >= 1.0)
-    if arm.score == COSINE:
-        mask = mask & (score_of(COSINE) >= threshold)
-    return mask
-
-
 def judge(records: DataFrame, threshold: float = S.DEFAULT_COSINE_THRESHOLD) -> DataFrame:
     """(id, tier, label, outcome, right): the arms that got each golden case right.
 
@@ -32,7 +23,7 @@ def judge(records: DataFrame, threshold: float = S.DEFAULT_COSINE_THRESHOLD) ->
     e2e = F.col("e2e")
 
     def right(key: str) -> Column:
-        admits = _admits(ARM[key], threshold)
+        admits = passes(key, {COSINE: threshold})
         answers = admits & answered()
         whole = F.when(F.col("answerable"), answers & correct()).otherwise(~answers)
         gate = (admits == F.col("answerable")) if key in GATE_ARMS else F.lit(False)
