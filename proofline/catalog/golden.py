@@ -56,9 +56,11 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(accession, text), one row per printed line: lines with an odd part number are left out."""
-    line = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice").where(F.col("l_partkey") % 2 == 0)
-    return line.select(F.col("l_orderkey").alias("accession"), F.concat(F.lit("Reported "), money_text(cents("l_extendedprice"))).alias("text"))
+    """(accession, text), one row per line item: its price where the part number is even, else
+    words only, so odd lines are the values that a filing does not print."""
+    line = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_extendedprice")
+    said = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Reported "), money_text(cents("l_extendedprice"))))
+    return line.select(F.col("l_orderkey").alias("accession"), F.coalesce(said, F.lit("A price that was agreed upon")).alias("text"))
 
 
 FACTS_SQL = """
