@@ -10,7 +10,8 @@ bytes are free. Inside a list the remaining two bytes are tallied and the bits v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +26,8 @@ from proofline.session import materialize
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
+#: Bytes and offsets of a slice to one number a row.
+Prints = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Primes of the XXH64 hash (fixed values).
 P1, P2, P3, P4, P5 = (
     np.uint64(11400714785074694791),
@@ -93,8 +96,9 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 64-bit SimHash of each row of a slice."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every run of ``words`` words of a slice, row after row, and how many each row has.
+    A shorter text is one run."""
     starts, ends, counts = word_bounds(data, offsets, SPACE)
     lengths = ends - starts
     plain = np.full(int(lengths.sum()) + len(lengths) + PAD, 32, dtype=np.uint8)
@@ -104,12 +108,15 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WOR
     shingles = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
     first_word = np.cumsum(counts) - counts
     opening = ranges(first_word, shingles)
-    row = np.repeat(np.arange(len(counts)), shingles)
-    closing = np.minimum(opening + words - 1, (first_word + counts - 1)[row])
+    closing = np.minimum(opening + words - 1, np.repeat(first_word + counts - 1, shingles))
     begin = placed[opening]
-    hashes = xxh64(plain, begin, placed[closing] + lengths[closing] - begin)
+    return xxh64(plain, begin, placed[closing] + lengths[closing] - begin), shingles
+
 
-    out = np.zeros(len(counts), dtype=np.uint64)
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit SimHash of each row of a slice."""
+    hashes, shingles = shingle_hashes(data, offsets, words)
+    out = np.zeros(len(shingles), dtype=np.uint64)
     full = np.flatnonzero(shingles)
     if not len(full):
         return out
@@ -270,22 +277,25 @@ def fingerprint_hex(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _named_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named_batches(prints: Prints, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprints(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
+        found = [prints(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
         value = np.concatenate(found) if found else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value.view(np.int64))], [*batch.schema.names, "_fp"])
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_duplicates, prints: Prints = fingerprints
+) -> DataFrame:
     """The row of each component with the smallest doc_id, all columns as they are. Of repeated
-    rows one stays; a row without an id stays only if no member of its component has one."""
-    found = near_duplicates(docs)
+    rows one stays; a row without an id stays only if no member of its component has one. ``find``
+    gives the components like ``near_duplicates``, ``prints`` the fp of the rows of a slice."""
+    found = find(docs)
     kept = materialize(
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "group").dropDuplicates(["group"]), "kept"
     )
     named = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    bare = docs.where("doc_id is null").mapInArrow(_named_batches, f"{schema}, _fp long")
+    bare = docs.where("doc_id is null").mapInArrow(partial(_named_batches, prints), f"{schema}, _fp long")
     bare = bare.join(kept.where("doc_id is null").select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"])
     return named.select(*docs.columns).union(bare.select(*docs.columns))

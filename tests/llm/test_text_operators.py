@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from proofline.llm import arrays, components, decontamination, licenses, simhash, suffixes, tokens
+import corpus_pipeline
+from proofline.llm import arrays, components, decontamination, licenses, simhash, similar, suffixes, tokens
 
 DOCS = "doc_id long, text string"
 
@@ -307,3 +308,44 @@ def test_lengths_are_the_encoders(table):
     assert tiktoken
     got = by_text(tokens.encoded_lengths(table(rows, DOCS)).collect())
     assert got == by_text((i, len(encode(t or ""))) for i, t in rows)
+
+
+# --- near copies by shingles ---------------------------------------------------------------------
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] * bool(words))
+
+
+def similar_groups(rows):
+    """The smallest id of each row's group; rows with 5-word Jaccard of 0.8 or more are linked."""
+    sets = [five_words(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    return [(i, least.get(g)) for (i, _), g in zip(rows, group)]
+
+
+def test_stage_links_every_pair_of_similar_texts(spark, table):
+    rng = random.Random(12)
+    line = "this line stands in very many of the texts and says nothing at all"
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(8, 240))] for _ in range(14)]
+    rows = []
+    for i in range(170):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(900)}"
+        rows.append((1000 - i, " ".join(words) + (f" {line}" if i % 3 == 0 else "")))
+    rows += [(None, rows[0][1]), (None, "alone without any id"), (5, None), (6, ""), (7, "One two"), (8, "one  TWO"), rows[3]]
+    want = similar_groups(rows)
+    got = similar.near_copies(table(rows, DOCS)).select("doc_id", "component_id").collect()
+    assert by_text(got) == by_text(want)
+    kept = corpus_pipeline.near_copy_stage(spark, table(rows, DOCS), "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for _, c in want if c is not None})
+    assert [r.text for r in kept if r.doc_id is None] == ["alone without any id"]
+    assert similar.near_copies(table([], DOCS)).collect() == []
