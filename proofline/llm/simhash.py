@@ -290,12 +290,12 @@ def one_of_each(
     """The row of each component with the smallest doc_id, all columns as they are. Of repeated
     rows one stays; a row without an id stays only if no member of its component has one. ``find``
     gives the components like ``near_duplicates``, ``prints`` the fp of the rows of a slice."""
-    found = find(docs)
-    kept = materialize(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp", "group").dropDuplicates(["group"]), "kept"
-    )
-    named = docs.join(kept.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = find(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # An id may stand on several texts, so the chosen row of a group is named by id and fp.
+    kept = materialize(found.groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("fp")), "kept")
+    chosen = kept.select("_id", F.col("fp").alias("_fp"), F.col("group").alias("_group"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    bare = docs.where("doc_id is null").mapInArrow(partial(_named_batches, prints), f"{schema}, _fp long")
-    bare = bare.join(kept.where("doc_id is null").select(F.col("fp").alias("_fp")), "_fp", "left_semi").dropDuplicates(["_fp"])
-    return named.select(*docs.columns).union(bare.select(*docs.columns))
+    named = docs.mapInArrow(partial(_named_batches, prints), f"{schema}, _fp long").withColumn("_id", F.col("doc_id").cast("long"))
+    match = named._fp.eqNullSafe(chosen._fp) & named._id.eqNullSafe(chosen._id)
+    rows = named.join(chosen, match).select(*[named[c] for c in docs.columns], "_group")
+    return rows.dropDuplicates(["_group"]).select(*docs.columns)

@@ -310,6 +310,13 @@ def test_lengths_are_the_encoders(table):
     assert got == by_text((i, len(encode(t or ""))) for i, t in rows)
 
 
+def test_texts_that_share_an_id_each_keep_a_row(table):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, "c d e f"), (None, "g h i j"), (None, "g h i j")]
+    kept = simhash.one_of_each(table(rows, DOCS)).collect()
+    assert by_text(kept) == by_text([(1, a), (1, b), (3, "c d e f"), (None, "g h i j")])
+
+
 # --- near copies by shingles ---------------------------------------------------------------------
 def five_words(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
