@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.catalog.compare import Registry
-from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, simhash, suffixes, tokens, urls
+from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, simhash, spelling, suffixes, tokens, urls
 
 REGISTRY = Registry()
 
@@ -80,6 +80,39 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_concat([x], range(8)), lambda c, _ : CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY x) AS t
+  FROM range(256) AS r(x)),
+runs AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) r
+  WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_concat([4294967295], list_transform(range(1, strlen(message) + 1), lambda i : ('0x' || substr(hex(message), 2 * i - 1, 2))::BIGINT)),
+                             lambda c, b : xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) AS h
+  FROM (SELECT run, times, doc_id || ':' || run AS message FROM runs) m, crc),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed) w
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+rests AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) w),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT rests.word, words.word, words.n FROM rests JOIN words ON rest = words.word
+  UNION SELECT words.word, rests.word, rests.n FROM rests JOIN words ON rest = words.word),
+met AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * words.n THEN top END AS form_n,
+         (SELECT min(other) FROM near WHERE near.word = words.word AND near.n = top AND top >= 5 * words.n) AS form
+  FROM words LEFT JOIN met USING (word)),
+chains AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chains.word, forms.form FROM chains JOIN forms ON forms.word = chains.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT chains.word, chains.root FROM chains JOIN forms ON forms.word = chains.root WHERE forms.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near::BIGINT AS n_near, form_n FROM forms LEFT JOIN roots USING (word)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -135,3 +168,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op10_tokens")
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_sums(tokens.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
+@REGISTRY.query("op11_spelling", OP11_SQL)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
