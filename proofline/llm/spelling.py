@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -128,19 +129,23 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return materialize(words.orderBy("word").withColumn("id", F.monotonically_increasing_id()), "numbered-words")
 
 
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams that words of their length may be cut into, with their numbers in a batch."""
+    for batch in batches:
+        found: Counter[str] = Counter()
+        for word in batch.column("word").to_pylist():
+            size = len(word)
+            for q in range(2, min(MOST_LETTERS, (size + 1) // 2) + 1):
+                found.update(word[at : at + q] for at in range(size - q + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["gram", "n"])
+
+
 def gram_ranks(words: DataFrame) -> dict[str, int]:
     """The gram dictionary: each gram and its rank, the rarest first. A gram of three letters or
     more is in it if the one without its last letter is frequent; beyond ``MOST_GRAMS`` the rarer
     ones are left out. Pairs of letters are bounded by the alphabet."""
-    letters = F.length("word")
-    cuts = [
-        F.when(
-            letters + 1 >= 2 * q,
-            F.transform(F.sequence(F.lit(1), letters - q + 1), lambda i, q=q: F.substr("word", i, F.lit(q))),
-        ).otherwise(F.array().cast("array<string>"))
-        for q in range(2, MOST_LETTERS + 1)
-    ]
-    grams = words.select(F.explode(F.flatten(F.array(*cuts))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    counted = words.select("word").mapInArrow(_gram_batches, "gram string, n long")
+    grams = counted.groupBy("gram").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "grams")
     frequent = grams.where(F.col("n") > LONG_GRAM).select(F.col("gram").alias("opening"))
     opening = F.expr("left(gram, length(gram) - 1)")
