@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.catalog.compare import Registry
-from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, simhash, spelling, suffixes, tokens, urls
+from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, scoring, simhash, spelling, suffixes, tokens, urls
 
 REGISTRY = Registry()
 
@@ -173,3 +173,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op11_spelling", OP11_SQL)
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op12_scores")
+def op12_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scores(table(spark, sf_dir, "documents"))
