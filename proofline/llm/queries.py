@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.catalog.compare import Registry
-from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, scoring, simhash, spelling, suffixes, tokens, urls
+from proofline.llm import decontamination, licenses, mixing, neighbours, quality, quotes, scoring, search, simhash, spelling, suffixes, tokens, urls
 
 REGISTRY = Registry()
 
@@ -113,6 +113,21 @@ roots AS (SELECT chains.word, chains.root FROM chains JOIN forms ON forms.word =
 SELECT word, form, coalesce(root, word) AS root, n, n_near::BIGINT AS n_near, form_n FROM forms LEFT JOIN roots USING (word)
 """
 
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sized AS (SELECT r, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+tfs AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) u GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, whole GROUP BY term, n_docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (r), whole GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+FROM scored JOIN sized USING (r) WHERE score > 0
+QUALIFY rank <= 50
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -178,3 +193,8 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("op12_scores")
 def op12_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scores(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op13_search", OP13_SQL)
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

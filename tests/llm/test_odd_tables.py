@@ -34,7 +34,7 @@ TABLES = {
 CLASHING = (
     "size source_size target taken key bucket block whole rest held_out score predicted n_words n_hit n_items items_sha256 contaminated "
     "n_bytes n_removed n_spans kept_sha256 fingerprint component_id query_id rank host path rule verdict decided judged kept weight count "
-    "id item_id quality toxic part shard slot hash at start end value n"
+    "id item_id quality toxic part shard slot hash at start end value n term word form root token c ln code slice bundle item learned"
 ).split()
 
 
@@ -72,7 +72,7 @@ def test_queries_do_not_see_other_columns_and_take_empty_tables(spark, plain, cl
     of_plain = REGISTRY[name].run(spark, plain)
     expected = rows(of_plain, of_plain.columns)
     assert rows(REGISTRY[name].run(spark, clashing), of_plain.columns) == expected
-    if name in ("op2_mixing", "op3_quality", "op5_decontamination", "op7_suffixes", "op9_simhash"):
+    if name in ("op2_mixing", "op3_quality", "op5_decontamination", "op7_suffixes", "op9_simhash", "op12_scores"):
         assert len(expected) == len(DOCUMENTS)
     nothing = REGISTRY[name].run(spark, empty)
     assert nothing.columns == of_plain.columns
