@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.arrays import LOWER, SPACE, ranges, text_slices, word_bounds
+from proofline.llm.arrays import LOWER, SPACE, text_slices, word_bounds
 from proofline.session import materialize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,7 +44,7 @@ BYTE_SHARE, RANK_SHIFT = 1e-3, 3.0
 PARTS = 1024
 #: Bytes of words that are recursed together; longer words go one by one.
 MOST_BYTES = 256
-SLICE = 1 << 23
+SLICE = 12 << 20
 
 
 class Pieces(NamedTuple):
@@ -245,17 +245,18 @@ def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for first, last, data, offsets in text_slices(batch.column("text"), SLICE):
             low = LOWER[data]
             starts, ends, counts = word_bounds(low, offsets, SPACE)
-            sizes = ends - starts
-            places = np.append(0, np.cumsum(sizes)).astype(np.int32)
-            words = pa.StringArray.from_buffers(
-                len(sizes), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(low[ranges(starts, sizes)]))
-            ).dictionary_encode()
+            places = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+            kept = low[: offsets[-1]][~SPACE[low[: offsets[-1]]]]
+            words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(kept)).dictionary_encode()
+            # The commonest words get the smallest codes, which take the fewest bits.
             codes = words.indices.to_numpy()
+            order = np.argsort(-np.bincount(codes, minlength=len(words.dictionary)), kind="stable")
+            codes = np.argsort(order).astype(np.int32)[codes]
             mine = learned[first:last]
-            times = np.bincount(codes[np.repeat(mine, counts)], minlength=len(words.dictionary))
+            times = np.bincount(codes[np.repeat(mine, counts)], minlength=len(order))
             row = [
                 ids.slice(first, last - first), pa.array(counts, pa.int64()), pa.array(codes, pa.int32()),
-                pa.concat_arrays([words.dictionary, pa.array([""])]), pa.array(np.append(times, mine.sum()), pa.int64()),
+                pa.concat_arrays([words.dictionary.take(pa.array(order)), pa.array([""])]), pa.array(np.append(times, mine.sum()), pa.int64()),
             ]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), r) for r in row]
             yield pa.RecordBatch.from_arrays(lists, ["ids", "counts", "codes", "tokens", "times"])
