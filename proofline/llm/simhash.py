@@ -16,11 +16,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.arrays import LOWER, SPACE, PAD, ranges, text_slices, word_bounds, words32, words64
 from proofline.llm.components import components
+from proofline.llm.decontamination import _filter_bits, _may_have
 from proofline.session import materialize
 
 SHINGLE_WORDS = 3
@@ -277,11 +279,31 @@ def fingerprint_hex(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _named_batches(prints: Prints, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def id_filter(ids: DataFrame) -> bytes:
+    """A filter of at most 16 MB that every id of ``ids`` (column id) passes."""
+    return _filter_bits(ids.where("id is not null").select(F.xxhash64("id").alias("print")))
+
+
+def may_hold(bits: bytes, ids: pa.Array) -> np.ndarray:
+    """Whether each id passes the filter; a row without an id does."""
+    known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8")
+    raw = np.concatenate([known.view(np.uint8), np.zeros(PAD, np.uint8)])
+    prints = xxh64(raw, 8 * np.arange(len(known)), np.full(len(known), 8)) if len(known) else np.zeros(0, np.uint64)
+    return _may_have(np.frombuffer(bits, np.uint8), prints) | pc.is_null(ids).to_numpy(zero_copy_only=False)
+
+
+def _settled_batches(bits, prints: Prints | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows outside a filter of ids; with ``prints`` those inside, and their fp."""
     for batch in batches:
-        found = [prints(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
+        inside = may_hold(bits.value, batch.column("doc_id").cast(pa.int64()))
+        rows = batch.filter(pa.array(inside if prints else ~inside))
+        if not prints:
+            yield rows
+            continue
+        texts = rows.column("text").cast(pa.string())
+        found = [prints(data, offsets) for _, _, data, offsets in text_slices(texts)]
         value = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value.view(np.int64))], [*batch.schema.names, "_fp"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(value.view(np.int64))], [*rows.schema.names, "_fp"])
 
 
 def one_of_each(
@@ -289,13 +311,22 @@ def one_of_each(
 ) -> DataFrame:
     """The row of each component with the smallest doc_id, all columns as they are. Of repeated
     rows one stays; a row without an id stays only if no member of its component has one. ``find``
-    gives the components like ``near_duplicates``, ``prints`` the fp of the rows of a slice."""
-    found = find(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gives the components like ``near_duplicates``, ``prints`` the fp of the rows of a slice.
+
+    Most rows are the only ones of their id and stay; they are not moved. The others are settled by
+    a join. A bounded filter of their ids parts the two, so rows it lets pass in vain are settled too.
+    """
+    found = materialize(find(docs).select("doc_id", "fp", "group", "component_id"), "found")
     # An id may stand on several texts, so the chosen row of a group is named by id and fp.
-    kept = materialize(found.groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("fp")), "kept")
-    chosen = kept.select("_id", F.col("fp").alias("_fp"), F.col("group").alias("_group"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(first.groupBy("group").agg(F.min("doc_id").alias("_id"), F.min("fp").alias("_fp")), "kept")
+    placed = found.join(kept, "group").withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    alone = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("_stays")).alias("stay")).where("n > 1 OR stay = 0")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(alone.select(F.col("doc_id").alias("id"))))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    named = docs.mapInArrow(partial(_named_batches, prints), f"{schema}, _fp long").withColumn("_id", F.col("doc_id").cast("long"))
-    match = named._fp.eqNullSafe(chosen._fp) & named._id.eqNullSafe(chosen._id)
+    clear = docs.mapInArrow(partial(_settled_batches, bits, None), schema)
+    named = docs.mapInArrow(partial(_settled_batches, bits, prints), f"{schema}, _fp long").withColumn("_id", F.col("doc_id").cast("long"))
+    chosen = kept.select(F.col("_id").alias("_kept_id"), F.col("_fp").alias("_kept_fp"), F.col("group").alias("_group"))
+    match = named._fp.eqNullSafe(chosen._kept_fp) & named._id.eqNullSafe(chosen._kept_id)
     rows = named.join(chosen, match).select(*[named[c] for c in docs.columns], "_group")
-    return rows.dropDuplicates(["_group"]).select(*docs.columns)
+    return clear.union(rows.dropDuplicates(["_group"]).select(*docs.columns))
