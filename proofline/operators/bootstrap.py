@@ -1,12 +1,16 @@
 """Cluster bootstrap: whole clusters are drawn with replacement, inside their stratum.
 
 A replicate is never built row by row. Clusters are reduced to sums first, and a replicate adds
-the sums of the clusters it drew. Draws come from a hash of (seed, replicate, stratum, slot), so
-they are the same on every run, in any order, and after a lost executor.
+the sums of the clusters it drew. The clusters of a stratum are cut into leaves. How many of a
+replicate's draws fall into a leaf is split from the stratum's total down a tree of halves, each
+split a binomial number keyed by (seed, replicate, stratum, node); inside a leaf a draw is a hash of
+(seed, replicate, stratum, slot). So a task makes the weights of its own leaf, no draw is ever a
+row, and draws are the same on every run, in any order, and after a lost executor.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from proofline import schemas as S
@@ -25,6 +30,8 @@ from proofline.session import materialize
 
 #: Replicates whose weights are one matrix, and histogram rows of a bucket (about).
 CHUNK, BUCKET_ROWS = 100, 1 << 15
+#: Clusters of a leaf, and ranges of replicates over which the work on a leaf is dealt.
+LEAF, RANGES = 4096, 16
 
 
 def hashed_slot(seed: int, replicate: Column, stratum: Column, slot: Column, size: Column) -> Column:
@@ -63,6 +70,55 @@ def draws(clusters: DataFrame, resamples: int, seed: int) -> DataFrame:
     )
 
 
+def _leaf_draws(k: int, lo: int, hi: int, leaf: int, size: int, key: str) -> int:
+    """How many of ``k`` draws from the leaves lo to hi - 1 fall into ``leaf``."""
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first, cut, last = lo * LEAF, mid * LEAF, min(hi * LEAF, size)
+        seed = int.from_bytes(hashlib.md5(f"{key}:{lo}-{hi}".encode()).digest(), "little")
+        left = int(np.random.Generator(np.random.Philox(seed)).binomial(k, (cut - first) / (last - first)))
+        if leaf < mid:
+            k, hi = left, mid
+        else:
+            k, lo = k - left, mid
+    return k
+
+
+def leaf_weights(seed: int, replicates: range, stratum: str, size: int, leaf: int) -> np.ndarray:
+    """How often each replicate drew each cluster of a leaf: replicates by positions in the leaf."""
+    leaves = -(-size // LEAF)
+    here = min(LEAF, size - leaf * LEAF)
+    out = np.empty((len(replicates), here))
+    # A stratum of one leaf needs no leaf in its name.
+    place = stratum if leaves == 1 else f"{stratum}/{leaf}"
+    for row, replicate in enumerate(replicates):
+        k = _leaf_draws(size, 0, leaves, leaf, size, f"{seed}:{replicate}:{stratum}")
+        opening = hashlib.md5(f"{seed}:{replicate}:{place}:".encode())
+        raw = bytearray()
+        for slot in range(k):
+            draw = opening.copy()
+            draw.update(str(slot).encode())
+            raw += draw.digest()[:4]
+        out[row] = np.bincount(np.frombuffer(bytes(raw), ">u4") % np.uint32(here), minlength=here)
+    return out
+
+
+def _leaves(clusters: DataFrame, resamples: int) -> DataFrame:
+    """``clusters`` with the size of their stratum, their leaf, and once for each range of replicates."""
+    if resamples < 1:
+        raise ValueError(f"resamples must be positive, got {resamples}")
+    sizes = clusters.groupBy("stratum").agg(F.count("*").alias("_size"))
+    return numbered_clusters(clusters).join(sizes, "stratum").select(
+        "*", F.floor(F.col("position") / LEAF).alias("_leaf"), F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range")
+    )
+
+
+def _range_of(number: int, resamples: int) -> list[range]:
+    """The replicates of a range in chunks; chunks begin at multiples of ``CHUNK``."""
+    chunks = range(number, -(-resamples // CHUNK), RANGES)
+    return [range(c * CHUNK, min((c + 1) * CHUNK, resamples)) for c in chunks]
+
+
 def _stratum(strata: str | None) -> Column:
     return F.col(strata).cast("string") if strata else F.lit("all")
 
@@ -91,11 +147,21 @@ def mean_replicates_of(
     by_cluster = cases.groupBy(_stratum(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(
         *totals, F.count("*").alias("_rows")
     )
-    sums = numbered_clusters(materialize(by_cluster, "cluster-sums"))
-    drawn = draws(sums, resamples, seed).join(sums, ["stratum", "position"])
-    return drawn.groupBy("replicate").agg(
-        *[(F.sum(f"_total_{v}") / F.sum("_rows")).alias(v) for v in values]
-    )
+    sums = _leaves(materialize(by_cluster, "cluster-sums"), resamples)
+    names = [f"_total_{v}" for v in values] + ["_rows"]
+
+    def add(key: tuple, leaf: pa.Table) -> pa.Table:
+        stratum, size, number, part = (k.as_py() for k in key)
+        table = np.zeros((leaf.num_rows, len(names)))
+        table[leaf.column("position").to_numpy() - number * LEAF] = np.stack([leaf.column(n).to_numpy() for n in names], axis=1)
+        found = [(r, leaf_weights(seed, r, stratum, size, number) @ table) for r in _range_of(part, resamples)]
+        rows = np.concatenate([f[1] for f in found]) if found else np.zeros((0, len(names)))
+        replicate = np.concatenate([np.asarray(f[0], np.int64) for f in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"replicate": replicate, **{n: rows[:, i] for i, n in enumerate(names)}})
+
+    schema = "replicate long, " + ", ".join(f"`{n}` double" for n in names)
+    parts = sums.withColumn("_rows", F.col("_rows").cast("double")).na.fill(0.0, names).groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(add, schema)
+    return parts.groupBy("replicate").agg(*[(F.sum(f"_total_{v}") / F.sum("_rows")).alias(v) for v in values])
 
 
 def mean_replicates(
@@ -191,19 +257,31 @@ def auroc_replicates(
         _stratum(strata).alias("stratum"), F.col(cluster).alias("cluster"), F.col(score).alias("score")
     ).agg(F.sum(positive).cast("long").alias("pos"), F.sum(1 - positive).cast("long").alias("neg"))
     hist = materialize(hist, "cluster-histograms")
-    clusters = numbered_clusters(hist.select("stratum", "cluster").distinct())
-    weights = (
-        draws(clusters, resamples, seed)
-        .groupBy("replicate", "stratum", "position")
-        .agg(F.count("*").alias("weight"))
-        .join(clusters, ["stratum", "position"])
+    clusters = _leaves(hist.select("stratum", "cluster").distinct(), resamples)
+
+    def pack(key: tuple, leaf: pa.Table) -> pa.Table:
+        stratum, size, number, part = (k.as_py() for k in key)
+        at = leaf.column("position").to_numpy() - number * LEAF
+        found = []
+        for replicates in _range_of(part, resamples):
+            drawn = leaf_weights(seed, replicates, stratum, size, number).T[at].astype(np.int32)
+            cluster, place = np.nonzero(drawn)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(cluster, minlength=len(at)))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, drawn[cluster, place])]
+            chunk = pa.array(np.full(len(at), replicates.start // CHUNK), pa.int32())
+            columns = [chunk, leaf.column("stratum").combine_chunks(), leaf.column("cluster").combine_chunks(), *lists]
+            found.append(pa.table(columns, ["chunk", "stratum", "cluster", "places", "weights"]))
+        return pa.concat_tables(found) if found else nothing.slice(0, 0)
+
+    kind = hist.schema["cluster"].dataType
+    nothing = pa.table(
+        [pa.array([], t) for t in (pa.int32(), pa.string(), to_arrow_type(kind), pa.list_(pa.int32()), pa.list_(pa.int32()))],
+        ["chunk", "stratum", "cluster", "places", "weights"],
     )
-    # A cluster's draws in one chunk of replicates are one row.
-    chunk = F.floor(F.col("replicate") / CHUNK).cast("int").alias("chunk")
-    packed = weights.groupBy(chunk, "stratum", "cluster").agg(
-        F.collect_list((F.col("replicate") % CHUNK).cast("int")).alias("places"),
-        F.collect_list(F.col("weight").cast("int")).alias("weights"),
+    packed = clusters.groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(
+        pack, f"chunk int, stratum string, cluster {kind.simpleString()}, places array<int>, weights array<int>"
     )
+    # A cluster's draws in one chunk of replicates are one row.
     packed = materialize(packed, "weights")
     buckets = min(MAX_BUCKETS, -(-hist.count() // BUCKET_ROWS)) or 1
     placed = materialize(with_bucket(hist.where("score is not null"), "score", buckets), "bucketed-histograms")
