@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -334,6 +335,43 @@ def auroc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(B.interval(replicates).select("low", "high", "standard_error", "replicates"))
 
 
+TRIM = 0.2
+
+
+def _trimmed(state: np.ndarray) -> float:
+    """Mean of values 1 to n, met as often as ``state`` says, without a fifth of them at either end."""
+    ends = np.cumsum(state)
+    cut = np.floor(TRIM * ends[-1])
+    kept = np.clip(ends, cut, ends[-1] - cut)
+    return float((np.diff(kept, prepend=cut) * np.arange(1, len(state) + 1)).sum() / (ends[-1] - 2 * cut))
+
+
+PRIORITIES = [f"p{i}" for i in range(1, 6)]
+TRIMMED_MEAN = B.UserAggregate(lambda rows, weights: weights @ rows[PRIORITIES].to_numpy(), _trimmed)
+
+
+@REGISTRY.query(
+    "bootstrap_trimmed_mean",
+    """WITH base AS (SELECT (o_custkey % 2)::VARCHAR AS fold, o_custkey AS ticker, 1 + o_orderkey % 5 AS v FROM orders)"""
+    + DRAWS_SQL.format(seed=S.REPORT_SEED, resamples=RESAMPLES)
+    + f""", counted AS (
+        SELECT replicate, v, count(*) AS n FROM draws JOIN clusters USING (stratum, position) JOIN base ON ticker = cluster GROUP BY ALL),
+      ends AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY replicate) AS total FROM counted),
+      reps AS (
+        SELECT replicate, sum(v * (least(greatest(upto, floor({TRIM} * total)), total - floor({TRIM} * total))
+                 - least(greatest(upto - n, floor({TRIM} * total)), total - floor({TRIM} * total)))) / any_value(total - 2 * floor({TRIM} * total)) AS v
+        FROM ends GROUP BY replicate)
+      SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high,
+        round(stddev_samp(v), 6) AS standard_error, count(*) AS replicates FROM reps""",
+)
+def bootstrap_trimmed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's statistic: the trimmed mean of a five-valued mark of orders, customers drawn whole."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).alias("fold"), F.col("o_custkey").alias("ticker"), (1 + F.col("o_orderkey") % 5).alias("v"))
+    marks = [F.count_if(F.col("v") == i).alias(name) for i, name in enumerate(PRIORITIES, 1)]
+    replicates = B.cluster_bootstrap(orders.groupBy("fold", "ticker").agg(*marks), TRIMMED_MEAN, "ticker", "fold", RESAMPLES)
+    return _rounded(B.interval(replicates).select("low", "high", "standard_error", "replicates"))
+
+
 @REGISTRY.query(
     "paired_difference",
     "WITH " + CASES_SQL + ARMS_SQL

@@ -11,7 +11,9 @@ row, and draws are the same on every run, in any order, and after a lost executo
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
@@ -32,12 +33,8 @@ from proofline.session import materialize
 CHUNK, BUCKET_ROWS = 100, 1 << 15
 #: Clusters of a leaf, and ranges of replicates over which the work on a leaf is dealt.
 LEAF, RANGES = 4096, 16
-
-
-def hashed_slot(seed: int, replicate: Column, stratum: Column, slot: Column, size: Column) -> Column:
-    """A position below ``size`` for one draw."""
-    text = F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), stratum.cast("string"), slot.cast("string"))
-    return F.pmod(F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("long"), size)
+#: Groups in which the states of leaves are merged first.
+MERGED = 64
 
 
 def numbered_clusters(clusters: DataFrame) -> DataFrame:
@@ -51,25 +48,6 @@ def numbered_clusters(clusters: DataFrame) -> DataFrame:
     return ranked.withColumn("position", F.col("_one_through") - 1).drop("_one", "_one_through")
 
 
-def draws(clusters: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(replicate, stratum, position): one row per slot of every replicate."""
-    if resamples < 1:
-        raise ValueError(f"resamples must be positive, got {resamples}")
-    spark = clusters.sparkSession
-    sizes = clusters.groupBy("stratum").agg(F.count("*").alias("size"))
-    tasks = min(resamples, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    replicates = spark.range(0, resamples, 1, tasks).withColumnRenamed("id", "replicate")
-    slots = replicates.crossJoin(sizes).select(
-        "replicate", "stratum", "size",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("slot"),
-    )
-    return slots.select(
-        "replicate",
-        "stratum",
-        hashed_slot(seed, F.col("replicate"), F.col("stratum"), F.col("slot"), F.col("size")).alias("position"),
-    )
-
-
 def _leaf_draws(k: int, lo: int, hi: int, leaf: int, size: int, key: str) -> int:
     """How many of ``k`` draws from the leaves lo to hi - 1 fall into ``leaf``."""
     while hi - lo > 1:
@@ -119,6 +97,49 @@ def _range_of(number: int, resamples: int) -> list[range]:
     return [range(c * CHUNK, min((c + 1) * CHUNK, resamples)) for c in chunks]
 
 
+@dataclass(frozen=True)
+class UserAggregate:
+    """A statistic of a replicate as states that can be made apart and merged.
+
+    ``update`` gets a leaf's clusters (one row each) and the weights (replicates by those rows), and
+    returns a state, a row of numbers, for each replicate. ``merge`` joins two tables of states
+    and must not depend on order; ``finish`` turns the state of all clusters into the value.
+    """
+
+    update: Callable[[pd.DataFrame, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add
+
+
+def _partial_states(clusters: DataFrame, update: Callable[[pd.DataFrame, np.ndarray], np.ndarray], resamples: int, seed: int) -> DataFrame:
+    """(replicate, leaf, state): one row for each leaf of clusters and replicate."""
+
+    def add(key: tuple, leaf: pa.Table) -> pa.Table:
+        stratum, size, number, part = (k.as_py() for k in key)
+        rows = leaf.sort_by("position").to_pandas()
+        found = [(r, update(rows, leaf_weights(seed, r, stratum, size, number))) for r in _range_of(part, resamples)]
+        states = np.concatenate([np.asarray(f[1], np.float64) for f in found]) if found else np.zeros((0, 1))
+        replicate = np.concatenate([np.asarray(f[0], np.int64) for f in found]) if found else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(states) + 1) * states.shape[1], pa.int32()), pa.array(states.ravel()))
+        leaves = pa.array(np.full(len(states), number), pa.int64())
+        return pa.table({"replicate": replicate, "leaf": leaves, "state": lists})
+
+    return _leaves(clusters, resamples).groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(
+        add, "replicate long, leaf long, state array<double>"
+    )
+
+
+def _merged(states: DataFrame, by: list[str], merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``states`` with one state for each key."""
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        whole = reduce(merge, (np.asarray(s.as_py(), np.float64) for s in rows.column("state")))
+        values = [pa.array([k.as_py()], pa.int64()) for k in key]
+        return pa.table([*values, pa.array([whole.tolist()], pa.list_(pa.float64()))], [*by, "state"])
+
+    return states.groupBy(*by).applyInArrow(join, ", ".join(f"{c} long" for c in by) + ", state array<double>")
+
+
 def _stratum(strata: str | None) -> Column:
     return F.col(strata).cast("string") if strata else F.lit("all")
 
@@ -147,21 +168,20 @@ def mean_replicates_of(
     by_cluster = cases.groupBy(_stratum(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(
         *totals, F.count("*").alias("_rows")
     )
-    sums = _leaves(materialize(by_cluster, "cluster-sums"), resamples)
-    names = [f"_total_{v}" for v in values] + ["_rows"]
+    drawn = sum_replicates(by_cluster, [f"_total_{v}" for v in values] + ["_rows"], resamples, seed)
+    return drawn.select("replicate", *[(F.col(f"_total_{v}") / F.col("_rows")).alias(v) for v in values])
 
-    def add(key: tuple, leaf: pa.Table) -> pa.Table:
-        stratum, size, number, part = (k.as_py() for k in key)
-        table = np.zeros((leaf.num_rows, len(names)))
-        table[leaf.column("position").to_numpy() - number * LEAF] = np.stack([leaf.column(n).to_numpy() for n in names], axis=1)
-        found = [(r, leaf_weights(seed, r, stratum, size, number) @ table) for r in _range_of(part, resamples)]
-        rows = np.concatenate([f[1] for f in found]) if found else np.zeros((0, len(names)))
-        replicate = np.concatenate([np.asarray(f[0], np.int64) for f in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"replicate": replicate, **{n: rows[:, i] for i, n in enumerate(names)}})
 
-    schema = "replicate long, " + ", ".join(f"`{n}` double" for n in names)
-    parts = sums.withColumn("_rows", F.col("_rows").cast("double")).na.fill(0.0, names).groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(add, schema)
-    return parts.groupBy("replicate").agg(*[(F.sum(f"_total_{v}") / F.sum("_rows")).alias(v) for v in values])
+def sum_replicates(clusters: DataFrame, names: list[str], resamples: int = S.RESAMPLES, seed: int = S.REPORT_SEED) -> DataFrame:
+    """(replicate, one column per name): the sums over the drawn clusters of ``clusters`` (stratum,
+    cluster, names). A null counts nothing."""
+    table = clusters.select("stratum", "cluster", *[F.col(n).cast("double").alias(n) for n in names]).na.fill(0.0, names)
+
+    def update(rows: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
+        return weights @ rows[names].to_numpy()
+
+    parts = _partial_states(materialize(table, "cluster-sums"), update, resamples, seed)
+    return parts.groupBy("replicate").agg(*[F.sum(F.get("state", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def mean_replicates(
@@ -343,35 +363,28 @@ def auroc_difference_replicates(first: DataFrame, second: DataFrame) -> DataFram
 
 def cluster_bootstrap(
     cases: DataFrame,
-    statistic: Callable[[pd.DataFrame], float],
+    statistic: UserAggregate,
     cluster: str,
     strata: str | None = None,
     resamples: int = S.RESAMPLES,
     seed: int = S.REPORT_SEED,
 ) -> DataFrame:
-    """(replicate, value) of any statistic given as a function of a replicate's cluster table.
+    """(replicate, value) of a user's statistic.
 
-    ``cases`` holds one row per cluster: its sufficient statistics, already aggregated. The
-    function gets those rows with a ``weight`` column (how often the cluster was drawn), so a
-    group holds clusters, never the rows behind them. ``mean_replicates`` and
-    ``auroc_replicates`` need no Python; use them where they fit.
+    ``cases`` holds one row per cluster: its sufficient statistics, already aggregated. States of leaves
+    are merged in groups first and then in all, so no task holds a cluster table, and
+    what is shuffled is leaves times replicates.
     """
     named = cases.select("*", _stratum(strata).alias("stratum")) if strata != "stratum" else cases
     if cluster != "cluster":
         named = named.withColumnRenamed(cluster, "cluster")
-    clusters = numbered_clusters(named)
-    weights = (
-        draws(clusters, resamples, seed)
-        .groupBy("replicate", "stratum", "position")
-        .agg(F.count("*").alias("weight"))
-    )
-    drawn = weights.join(clusters, ["stratum", "position"])
+    parts = _partial_states(materialize(named, "clusters"), statistic.update, resamples, seed)
+    some = _merged(parts.withColumn("leaf", F.pmod("leaf", F.lit(MERGED)).cast("long")), ["replicate", "leaf"], statistic.merge)
+    whole = _merged(some, ["replicate"], statistic.merge)
 
-    def evaluate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"replicate": [key[0]], "value": [float(statistic(group))]})
-
-    schema = T.StructType(
-        [T.StructField("replicate", T.LongType()), T.StructField("value", T.DoubleType())]
-    )
-    return drawn.groupBy("replicate").applyInPandas(evaluate, schema)
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = [float(statistic.finish(np.asarray(s.as_py(), np.float64))) for s in batch.column("state")]
+            yield pa.RecordBatch.from_arrays([batch.column("replicate"), pa.array(value, pa.float64())], ["replicate", "value"])
 
+    return whole.mapInArrow(finish, "replicate long, value double")

@@ -81,15 +81,40 @@ def test_risk_and_coverage(scored):
 
 def drawn_clusters(df, resamples, seed=7):
     """The draws the operator makes, as lists of clusters per replicate."""
-    clusters = B.numbered_clusters(df.select(F.col("fold").cast("string").alias("stratum"), "cluster").distinct())
-    rows = B.draws(clusters, resamples, seed).join(clusters, ["stratum", "position"]).select("replicate", "cluster").collect()
-    out = {}
-    for row in rows:
-        out.setdefault(row.replicate, []).append(row.cluster)
+    clusters = B.numbered_clusters(df.select(F.col("fold").cast("string").alias("stratum"), "cluster").distinct()).collect()
+    out = {r: [] for r in range(resamples)}
+    for stratum in {c.stratum for c in clusters}:
+        own = sorted((c.position, c.cluster) for c in clusters if c.stratum == stratum)
+        for leaf in range(-(-len(own) // B.LEAF)):
+            weights = B.leaf_weights(seed, range(resamples), stratum, len(own), leaf)
+            for replicate, row in enumerate(weights):
+                for (_, cluster), times in zip(own[leaf * B.LEAF :], row):
+                    out[replicate] += [cluster] * int(times)
     return out
 
 
-def test_replicates_equal_resampling_rows(scored):
+MEAN = B.UserAggregate(
+    lambda rows, weights: weights @ rows[["t", "n"]].to_numpy(), lambda state: state[0] / state[1]
+)
+
+
+def test_a_draw_hits_every_cluster_alike_in_one_leaf_or_many(monkeypatch):
+    monkeypatch.setattr(B, "LEAF", 7)
+    size, replicates = 40, range(300)
+    whole = np.concatenate([B.leaf_weights(3, replicates, "s", size, leaf) for leaf in range(6)], axis=1)
+    assert (whole.sum(axis=1) == size).all() and whole.shape == (300, size)
+    # Each cluster's weights have mean 1 and variance 1 - 1/size; those of two add up less freely.
+    assert abs(whole.mean(axis=0) - 1).max() < 0.25
+    assert abs(whole.var(axis=0).mean() - (1 - 1 / size)) < 0.06
+    halves = whole[:, :20].sum(axis=1)
+    assert abs(halves.mean() - 20) < 0.7 and abs(halves.var() - 10) < 2.5
+    again = B.leaf_weights(3, range(100, 200), "s", size, 4)
+    assert (again == whole[100:200, 28:35]).all()
+
+
+@pytest.mark.parametrize("leaf", [4096, 5])
+def test_replicates_equal_resampling_rows(scored, monkeypatch, leaf):
+    monkeypatch.setattr(B, "LEAF", leaf)
     df, score, label, cluster, _ = scored
     draws = drawn_clusters(df, 20)
     means = {r.replicate: r.value for r in B.mean_replicates(df, "score", "cluster", "fold", 20, 7).collect()}
@@ -97,7 +122,7 @@ def test_replicates_equal_resampling_rows(scored):
     sums = df.groupBy("fold", "cluster").agg(F.sum("score").alias("t"), F.count("*").alias("n"))
     generic = {
         r.replicate: r.value
-        for r in B.cluster_bootstrap(sums, lambda g: (g.t * g.weight).sum() / (g.n * g.weight).sum(), "cluster", "fold", 20, 7).collect()
+        for r in B.cluster_bootstrap(sums, MEAN, "cluster", "fold", 20, 7).collect()
     }
     assert len(draws) == 20 and all(len(d) == len(set(cluster)) for d in draws.values())
     for replicate, clusters in draws.items():
