@@ -8,6 +8,7 @@ are cut at it. The histogram has a row for each length that occurs, whatever the
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -21,6 +22,11 @@ from proofline.session import materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts a text before merging (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the pattern's ``\\s`` stands for (Unicode White_Space; ``\\s`` of Python has four controls more).
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The encoder's pattern backtracks over white space and fails on a run of a million characters. Runs
+#: from this length on are cut out first, at the places where the pattern cuts them.
+LONG_RUN = 1024
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
 
@@ -33,17 +39,29 @@ def _encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
 
+def encoded_length(text: str, ranks: bytes, pattern: str, long_run: int = LONG_RUN) -> int:
+    """Number of tokens. The pattern takes a run of white space but for its last character, and that one
+    too at the end of the text; such a piece is merged as a whole, without the pattern."""
+    encode = _encoder(ranks, pattern).encode_ordinary
+    merge = _encoder(ranks, r"(?s).+").encode_ordinary
+    total = begin = 0
+    for run in re.finditer(f"{WHITE}{{{max(long_run, 2)},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encode(text[begin : run.start()])) + len(merge(text[run.start() : end]))
+        begin = end
+    return total + len(encode(text[begin:]))
+
+
 def _length_batches(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
-    encode = _encoder(ranks.value, pattern).encode_ordinary
     for batch in batches:
-        texts = batch.column("text")
-        lengths = [len(encode(text.as_py() or "")) for text in texts]
+        lengths = [encoded_length(text.as_py() or "", ranks.value, pattern) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64())], ["doc_id", "length"])
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, length: one row per row of ``docs``; null and empty texts have length zero. The
-    vocabulary file (about a megabyte) is read once here and sent along."""
+    """doc_id, length: one row per row of ``docs``; null and empty texts have length zero, and a text may be
+    as long as a value can be. The vocabulary file (about a megabyte) is read once here and sent along.
+    ``pattern`` must end like ``PATTERN``, with white space but for its last character, then white space."""
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

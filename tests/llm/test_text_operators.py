@@ -310,6 +310,29 @@ def test_lengths_are_the_encoders(table):
     assert got == by_text((i, len(encode(t or ""))) for i, t in rows)
 
 
+def test_long_runs_are_cut_where_the_pattern_cuts():
+    import regex
+
+    with open(tokens.VOCABULARY, "rb") as file:
+        ranks = file.read()
+    merge = tokens._encoder(ranks, r"(?s).+").encode_ordinary
+    ink = "[^" + tokens.WHITE[1:]
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?![\p{{L}}\p{{N}}]){ink})+|{tokens.WHITE}+(?!{ink})|{tokens.WHITE}+"
+    pieces = [" ", "  ", "\n", "\t", "\u3000", "\x1c", "\xa0", "a", "word", "7", "--", "'s", "é"]
+    chance = random.Random(5)
+    for _ in range(500):
+        text = "".join(chance.choice(pieces) * chance.choice([1, 1, 3]) for _ in range(chance.randrange(14)))
+        wanted = sum(len(merge(piece)) for piece in regex.findall(pattern, text))
+        for long_run in (2, 3, 5):
+            assert tokens.encoded_length(text, ranks, tokens.PATTERN, long_run) == wanted, repr(text)
+
+
+def test_very_long_texts_are_encoded(table):
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "ab1" * 700_000, "-" * 700_000, "word " * 400_000]
+    got = {r.doc_id: r.length for r in tokens.encoded_lengths(table(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == 2_000_000 and got[1] == 1_000_003 and got[4] >= 400_000 and set(got) == set(range(5))
+
+
 def test_texts_that_share_an_id_each_keep_a_row(table):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(1, a), (1, b), (2, a), (3, b), (3, "c d e f"), (None, "g h i j"), (None, "g h i j")]
