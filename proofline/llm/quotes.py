@@ -1,16 +1,19 @@
 """Conversations in reply order, linked by what messages quote.
 
-Each message is parsed into its own text and its quoted passages with their levels. Passages are
-normalised (case, white space, punctuation at the ends) and hashed; own passages are hashed whole, by paragraph and by
-line. A quoted passage links a message to the earliest earlier message of the conversation that has the passage as
-its own. Links come from an equality join on (conversation, hash) against one row per hash, so a
-passage quoted everywhere meets one row.
+Each message is parsed into its own text and its quoted passages with their levels. A passage is
+normalised to words (case, white space and punctuation around words go) and hashed. The messages
+before it are hashed for every run of as many words, from each start of a line or a sentence on, so
+any contiguous part that begins at one is found, whatever its line breaks. A passage links a message
+to the earliest earlier message of the conversation that has it. Links come from an equality join on
+(conversation, hash) against one row per hash, so a passage quoted everywhere meets one row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,28 +25,68 @@ from proofline.session import materialize
 QUOTE = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 #: "On ..., someone wrote:" in front of a quote (fixed pattern).
 INTRODUCTION = re.compile(r"^(?:on\b.*|.*\b)wrote:\s*$", re.IGNORECASE)
+#: Marks around words that normalising takes away, and ends of sentences (fixed values).
+MARKS, STOPS = ".,;:!?…\"'“”‘’()", (".", "!", "?", "…", ":")
+#: Modulus and base of the rolling hash over words: a prime of 127 bits.
+PRIME, BASE = (1 << 127) - 1, 0x1F3D5B79A2C4E6081F3D5B79A2C4E609
 LAST = (1 << 63) - 1
+#: Parts into which a conversation's messages are dealt when its quotes are looked for; rows in a batch.
+SALTS, ROWS = 32, 1 << 16
 #: Turns in a block of the running positions.
 BLOCK = 1024
 
 
 def levels(text: str) -> list[tuple[int, str]]:
-    """(quote level, line without its marks) of each line."""
+    """(quote level, line without its marks, with its end) of each line."""
     out = []
-    for line in text.splitlines():
+    for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text):
         marks = QUOTE.match(line)
         out.append((marks.group(1).count(">"), line[marks.end() :]) if marks else (0, line))
     return out
 
 
-def normal(text: str) -> str:
-    return " ".join(text.lower().split()).strip(" .,;:!?…")
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little") % PRIME
+
+
+def words(text: str) -> tuple[list[str], list[int]]:
+    """Normalised words, and the numbers of those that begin a line or a sentence."""
+    found: list[str] = []
+    starts: list[int] = []
+    for line in re.split(r"[\r\n]+", text):
+        begins = True
+        for raw in line.lower().split():
+            word = raw.strip(MARKS)
+            if word:
+                if begins:
+                    starts.append(len(found))
+                found.append(word)
+                begins = False
+            begins = begins or raw.rstrip("\"'”’)").endswith(STOPS)
+    return found, starts
+
+
+def prefix_hashes(found: list[str]) -> list[int]:
+    out = [0]
+    for word in found:
+        out.append((out[-1] * BASE + _word_hash(word) + 1) % PRIME)
+    return out
+
+
+def run_key(prefixes: list[int], start: int, length: int) -> bytes:
+    """The hash of ``length`` words from ``start`` on."""
+    return ((prefixes[start + length] - prefixes[start] * pow(BASE, length, PRIME)) % PRIME).to_bytes(16, "little")
 
 
-def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """The message without quotes, and its quoted passages as (level, normalised text). A passage
-    is a run of lines of one level without an empty line; the line that introduces a quote goes."""
+def parsed(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
+    """The message without quotes, and its quoted passages as (level, words). A passage is a run of
+    lines of one level without an empty line; the line that introduces a quote goes. Own lines keep
+    their ends, an empty line stands where a quote was between them, and only a text with quotes
+    loses white space around it: one without is returned as it is."""
     lines = levels(text)
+    if not any(level for level, _ in lines):
+        return text, []
     own: list[str] = []
     quoted: list[tuple[int, list[str]]] = []
     previous = 0
@@ -61,27 +104,53 @@ def parsed(text: str) -> tuple[str, list[tuple[int, str]]]:
             else:
                 quoted.append((level, [line]))
         else:
+            if previous and own and line.strip():
+                own.append("\n")
             own.append(line)
         previous = level
-    passages = [(level, normal(" ".join(part))) for level, part in quoted]
-    return "\n".join(own).strip(), [(level, part) for level, part in passages if part]
-
-
-def own_passages(own: str) -> set[str]:
-    """The ways in which a later message may quote this text."""
-    parts = {own, *re.split(r"\n\s*\n", own), *own.split("\n")}
-    return {p for p in map(normal, parts) if p}
+    passages = [(level, words("".join(part))[0]) for level, part in quoted]
+    return "".join(own).strip(), [(level, part) for level, part in passages if part]
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote_type = pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.string())]))
+    quote_type = pa.list_(pa.struct([("level", pa.int32()), ("n_words", pa.int32()), ("passage", pa.binary())]))
     for batch in batches:
         read = [parsed(text or "") for text in batch.column("text").to_pylist()]
         own = pa.array([own for own, _ in read], pa.string())
-        quotes = pa.array([[{"level": n, "passage": p} for n, p in quotes] for _, quotes in read], quote_type)
-        units = pa.array([sorted(own_passages(own)) for own, _ in read], pa.list_(pa.string()))
+        rows = [[{"level": n, "n_words": len(p), "passage": run_key(prefix_hashes(p), 0, len(p))} for n, p in quotes] for _, quotes in read]
         rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, own, quotes, units], [*(n for n in batch.schema.names if n != "text"), "text", "quotes", "units"])
+        yield pa.RecordBatch.from_arrays([*rest, own, pa.array(rows, quote_type)], [*(n for n in batch.schema.names if n != "text"), "text", "quotes"])
+
+
+def _run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """conv_id, at, passage: the runs of ``lengths`` words of each message, a bounded batch at a time."""
+    names = ["conv_id", "at", "passage"]
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for conv_id, at, text, lengths in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "at", "text", "lengths")), strict=True):
+            found, starts = words(text)
+            prefixes = prefix_hashes(found)
+            for start in starts:
+                rows += [(conv_id, at, run_key(prefixes, start, n)) for n in lengths if start + n <= len(found)]
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _origins(read: DataFrame, quotes: DataFrame) -> DataFrame:
+    """conv_id, passage, origin: the earliest turn of each run that may be quoted. Conversations
+    without quotes and turns after the last quote give none. The lengths asked of a conversation are
+    distinct numbers up to the words of its longest quote; its messages are dealt to ``SALTS`` parts."""
+    salt = F.pmod(F.xxhash64("digest", "at"), F.lit(SALTS))
+    asked = quotes.groupBy("conv_id").agg(F.collect_set("n_words").alias("lengths"), F.max("at").alias("last"))
+    asked = asked.select(F.col("conv_id").alias("c"), "lengths", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    messages = read.select("conv_id", "at", "text", salt.alias("dealt"))
+    same = messages.conv_id.eqNullSafe(asked.c) & (messages.dealt == asked.salt) & (messages["at"] < asked["last"])
+    runs = messages.join(asked, same).select("conv_id", "at", "text", "lengths").mapInArrow(_run_batches, "conv_id long, at long, passage binary")
+    return runs.groupBy("conv_id", "passage").agg(F.min("at").alias("origin"))
 
 
 def _running(rows: DataFrame) -> DataFrame:
@@ -125,7 +194,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, reply_to, linked, n_quotes, n_linked, position: one row per row
     of ``messages`` (conv_id, turn, role, text).
 
-    ``text`` has no quotes. ``reply_to`` is the latest turn that a first-level quote links to
+    ``text`` has no quotes, and is the given text where there are none. ``reply_to`` is the latest turn that a first-level quote links to
     (``linked``), or else the turn before, null for the first. Quotes of deeper levels are counted
     in n_quotes and n_linked. A message comes after the one it answers, since links go to earlier
     turns: ``position`` numbers a conversation in that order. A null turn comes last, rows without
@@ -139,16 +208,11 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.sha2(F.concat_ws("|", F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256).alias("digest"),
     )
-    schema = "conv_id long, at long, role string, digest string, text string, quotes array<struct<level: int, passage: string>>, units array<string>"
+    schema = "conv_id long, at long, role string, digest string, text string, quotes array<struct<level: int, n_words: int, passage: binary>>"
     read = materialize(base.select("conv_id", "at", "role", "digest", "text").mapInArrow(_parse_batches, schema), "messages")
-    origins = (
-        read.select("conv_id", "at", F.explode("units").alias("unit"))
-        .select("conv_id", "at", F.sha2("unit", 256).alias("passage"))
-        .groupBy("conv_id", "passage")
-        .agg(F.min("at").alias("origin"))
-    )
     quotes = read.where(F.size("quotes") > 0).select("conv_id", "at", "digest", F.explode("quotes").alias("q"))
-    quotes = quotes.select("conv_id", "at", "digest", "q.level", F.sha2("q.passage", 256).alias("passage"))
+    quotes = quotes.select("conv_id", "at", "digest", "q.level", "q.n_words", "q.passage")
+    origins = _origins(read, quotes)
     met = quotes.conv_id.eqNullSafe(origins.conv_id) & (quotes.passage == origins.passage) & (origins.origin < quotes["at"])
     links = (
         quotes.join(origins, met, "left")
@@ -161,7 +225,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         )
     )
     # Repeated rows share a digest, and so their quotes are counted together; the number of rows divides them.
-    rows = _running(read.drop("quotes", "units"))
+    rows = _running(read.drop("quotes"))
     sized = read.select("conv_id", "at", "digest", F.size("quotes").cast("long").alias("n_quotes")).distinct()
     links = links.join(
         sized.withColumnsRenamed({"conv_id": "c", "at": "a", "digest": "d"}),

@@ -237,6 +237,60 @@ def test_quotes_link_to_the_message_they_repeat(table):
     assert quotes.reply_ordered(table([], schema)).collect() == []
 
 
+def test_any_part_from_a_line_or_sentence_on_links(table):
+    """Random parts of random messages, against a plain search of their words."""
+    chance = random.Random(12)
+    rows, wanted = [], {}
+    plain = lambda text: [w.strip(quotes.MARKS) for w in text.lower().split() if w.strip(quotes.MARKS)]
+    for conv in range(40):
+        messages = []
+        for turn in range(8):
+            lines = [" ".join(chance.choice(["red", "Blue", "green,", "so.", "(why", "not)?"]) for _ in range(chance.randrange(1, 6))) for _ in range(chance.randrange(1, 5))]
+            own = "\n".join(lines)
+            text, link = own, None
+            if turn and chance.random() < 0.7:
+                source = chance.choice(messages).split("\n")
+                first = chance.randrange(len(source))
+                part = source[first : chance.randrange(first, len(source)) + 1]
+                part[-1] = " ".join(part[-1].split()[: chance.randrange(1, 6)])
+                passage = plain(" ".join(part))
+                # Wrapped anew, and followed by a passage that nobody wrote.
+                text = "> " + " \n> ".join(" ".join(part).split()) + "\n" + own + "\n> nobody wrote this"
+                for earlier, message in enumerate(messages):
+                    begins, at = [], 0
+                    for line in message.split("\n"):
+                        fresh = True
+                        for raw in line.split():
+                            if raw.strip(quotes.MARKS):
+                                begins += [at] if fresh else []
+                                at, fresh = at + 1, False
+                            fresh = fresh or raw.endswith((".", "?"))
+                    if link is None and passage and any(plain(message)[b : b + len(passage)] == passage for b in begins):
+                        link = earlier
+                assert link is not None or not passage
+            messages.append(own)
+            rows.append((conv, turn, "user", text))
+            wanted[conv, turn] = link
+    got = quotes.reply_ordered(table(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.reply_to if r.linked else None for r in got} == wanted
+
+
+def test_answers_between_quotes_stay_apart(table):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [
+        (1, 0, "user", "First question?\nSecond question?"),
+        (1, 1, "user", "> First question?\nA1\nA2\n> Second question?\nB1\nB2"),
+        (1, 2, "user", "something else"),
+        (1, 3, "user", "> A1\n> A2\nthanks"),
+        (1, 4, "user", "> B1 B2\nright"),
+        (2, 0, "user", " page\x0cbreak\r\nand more \n"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(table(rows, schema)).collect()}
+    assert got[1, 1].text == "A1\nA2\n\nB1\nB2" and (got[1, 1].n_quotes, got[1, 1].n_linked) == (2, 2)
+    assert [got[1, t].reply_to for t in (1, 3, 4)] == [0, 1, 1] and got[1, 3].linked and got[1, 4].linked
+    assert got[2, 0].text == " page\x0cbreak\r\nand more \n"
+
+
 def test_positions_of_a_long_conversation(table):
     turns = list(range(0, 9000, 3))
     random.Random(6).shuffle(turns)
