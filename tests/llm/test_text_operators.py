@@ -258,6 +258,50 @@ def test_notices_with_gaps_and_wrong_words(table):
     assert licenses.scan(table([], DOCS)).collect() == []
 
 
+def test_the_words_that_name_a_license_decide(table):
+    rows = [
+        (1, "Licensed under the Mozilla Public License, version 2.0"), (2, "licensed under cc by-sa 4.0"), (3, "released under an mit license"),
+        (4, "Licensed under the Eclipse Public License, version 2.0"), (5, "licensed under cc by 3.0"), (6, "licensed with CC BY-NC 4.0"),
+        (7, "This work is licensed under the GNU General Public License, version 2."), (8, f"a {licenses.TEMPLATES['Apache-2.0-header']} b"),
+        (9, licenses.TEMPLATES["MIT-whole"]), (10, licenses.TEMPLATES["BSD-2-whole"]), (11, licenses.TEMPLATES["BSD-3-whole"]),
+        (12, licenses.TEMPLATES["ISC-whole"].replace("AUTHOR", "WRITER")), (13, licenses.TEMPLATES["AGPL-3.0-header"]),
+    ]
+    found = {(r.doc_id, r.license) for r in licenses.scan(table(rows, DOCS)).collect()}
+    names = {1: "MPL-2.0", 2: "CC-BY-SA-4.0", 3: "MIT", 6: "CC-BY-NC-4.0", 7: "GPL-2.0", 8: "Apache-2.0-header", 9: "MIT-whole", 10: "BSD-2-whole"}
+    assert found == {*names.items(), (11, "BSD-3-whole"), (12, "ISC-whole"), (13, "AGPL-3.0-header")}
+
+
+def test_scan_finds_what_aligning_at_every_place_finds():
+    """Templates with up to a fifth of their words exchanged in place, among words of no template: reported
+    if some place of the text aligns well enough and the naming words stand in the span. (Words of a
+    template strewn among others, no two in a row, are no candidate; the docstring of the operator says so.)"""
+    chance = random.Random(4)
+    templates = licenses.Templates(licenses.TEMPLATES, licenses.NAMING)
+    common = "river mill walk town every day along runs past old".split()
+    hits = 0
+    for _ in range(150):
+        number = chance.randrange(len(templates.names))
+        named = {w for run in licenses.NAMING.get(templates.names[number], []) for w in run.split()}
+        words = re.findall("[a-z0-9]+", licenses.TEMPLATES[templates.names[number]].lower())
+        for i in chance.sample(range(len(words)), min(int(len(words) * 0.2), chance.randrange(len(words)))):
+            if words[i] not in named or chance.random() < 0.2:
+                words[i] = f"x{chance.randrange(100)}"
+        text = [*chance.choices(common, k=chance.randrange(30)), *words, *chance.choices(common, k=chance.randrange(30))]
+        hashes = licenses._hashes(" ".join(text))
+        good = []
+        for place in range(-licenses.BAND, len(hashes)):
+            begin = max(0, place - licenses.BAND)
+            around = hashes[begin : place + len(templates.words[number]) + licenses.BAND]
+            matched, first, last = licenses.banded_alignment(templates.words[number], around, place - begin)
+            if matched >= licenses.LEAST_COVERAGE * len(templates.words[number]) and templates.named(number, around[first : last + 1]):
+                good.append((begin + first, begin + last))
+        spans = licenses._spans(hashes, templates, {})
+        hits += bool(good)
+        # Each good place is reported, or a span that overlaps it and matches as much.
+        assert all(any(a <= g[1] and g[0] <= b for _, a, b, _ in spans) for g in good), (templates.names[number], text)
+    assert hits > 80
+
+
 def longest_common(a, b, diagonal, band):
     """Matched words of the best alignment inside the band, by the whole table."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
