@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofline import schemas as S
 from proofline.catalog.compare import REGISTRY
@@ -17,7 +18,6 @@ CONCEPT_ROWS = [
     ("a_or_r", ["A", "R"], "O", ["What was {company}'s first figure in fiscal {year}?", "State the first figure of {company} for {year}."]),
     ("n", ["N"], "O", ["What was {company}'s second figure in fiscal {year}?", "State the second figure of {company} for {year}."]),
 ]
-PEERS = 3
 
 
 def _concepts(spark: SparkSession) -> DataFrame:
@@ -132,17 +132,24 @@ def golden_pool_select(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("water", "What is the boiling point of water?", "boiling point"), ("report", "What did {company} say on toast?", "reported")],
         "key STRING, question STRING, marker STRING",
     )
-    # A scope (company, year) has one filing: its first order.
-    every = _filings(spark, sf_dir)
-    rest = [c for c in every.columns if c not in ("cik", "fiscal_year")]
-    filings = every.groupBy("cik", "fiscal_year").agg(F.min_by(F.struct(*rest), "accession").alias("f")).select("cik", "fiscal_year", "f.*")
+    # A scope (company, year) has one filing: a customer's second order of a year is another company's.
+    nth = F.row_number().over(Window.partitionBy("cik", "fiscal_year").orderBy("accession"))
+    every = _filings(spark, sf_dir).withColumn("nth", nth)
+    cik, ticker = F.col("cik") * 1000 + F.col("nth"), F.concat_ws(".", "ticker", "nth")
+    made = every.select(F.col("ticker").alias("_customer"), "nth").distinct()
+    customers = _companies(spark, sf_dir)
+    companies = customers.join(made, F.col("ticker") == F.col("_customer")).select(
+        ticker.alias("ticker"), cik.alias("cik"), F.concat_ws(" ", "name", "nth").alias("name"), "split", "fold", "peer_group"
+    )
+    filings = every.withColumns({"ticker": ticker, "cik": cik}).drop("nth")
+    facts = _facts(spark, sf_dir).drop("cik").join(filings.select("accession", "cik"), "accession")
     texts = _texts(spark, sf_dir).groupBy("accession").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
     corpus = PQ.Corpus(
-        companies=_companies(spark, sf_dir), filings=filings, facts=_facts(spark, sf_dir), texts=texts,
+        companies=companies, filings=filings, facts=facts, texts=texts,
         concepts=_concepts(spark), sector=sector,
         sector_phrasings=["What was {company}'s {label} in fiscal {year}?"], off_domain=off_domain,
     )
-    tables = PQ.build(corpus, seed=17, quotas={"dev": (2, 4), "eval": (1, 3)}, nearest_peers=PEERS)
+    tables = PQ.build(corpus, seed=17, quotas={"dev": (2, 4), "eval": (1, 3)})
     kind = F.coalesce("negative_kind", F.lit("positive")).alias("kind")
     return tables["cases"].groupBy("split", kind).agg(
         F.count("*").alias("cases"), F.count_if("e2e").alias("e2e"), F.count_distinct("ticker").alias("companies"),

@@ -26,6 +26,7 @@ from proofline.operators import facts as FA
 from proofline.operators import phrases as PH
 from proofline.operators import printed as PR
 from proofline.operators.running import running_totals
+from proofline.session import materialize
 
 # --- fixed values: concepts, their tags in the order they are tried, and their units ---------------
 CONCEPTS = (
@@ -42,6 +43,10 @@ CONCEPTS = (
     ("capital_expenditures", ("PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets"), "USD"),
     ("dividends_paid", ("PaymentsOfDividends", "PaymentsOfDividendsCommonStock"), "USD"),
 )
+#: Multipliers of the walk over peers: primes beyond any number of seats (the largest below 2^31).
+WALK_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Peers a filing asks about in the first round.
+FIRST_STEPS = 2
 PHRASINGS = (
     "What was {company}'s {label} in fiscal {year}?",
     "How much {label} did {company} report for fiscal year {year}?",
@@ -152,29 +157,98 @@ def peer_pairs(filings: DataFrame, companies: DataFrame, nearest: int | None = N
     )
 
 
-def other_companies(
-    filings: DataFrame,
-    companies: DataFrame,
-    facts: DataFrame,
-    printed: DataFrame,
-    concepts: DataFrame,
-    nearest: int | None = None,
-) -> DataFrame:
-    """Figures of a peer for a year the filing covers, kept when the filing cannot print them."""
+def peer_seats(filings: DataFrame, companies: DataFrame) -> DataFrame:
+    """peer_group, fiscal_year, ticker, accession, seat (from 0), size: the filing's place among those of
+    its group and year. One filing per company and year."""
+    group = filings.join(companies.select("ticker", "peer_group"), "ticker").select("peer_group", "fiscal_year", "ticker", "accession")
+    by = ["peer_group", "fiscal_year"]
+    numbered = running_totals(group.withColumn("_one", F.lit(1).cast("long")), "ticker", ["_one"], by)
+    sizes = group.groupBy(*by).agg(F.count("*").alias("size"))
+    return numbered.join(sizes, by).select(*by, "ticker", "accession", (F.col("_one_through") - 1).alias("seat"), "size")
+
+
+def walked_peers(seats: DataFrame, walkers: DataFrame, first: int, width: int, seed: int) -> DataFrame:
+    """(accession, asked_company, asked_accession): steps ``first`` to ``first + width`` of every walker's
+    walk over its group. ``walkers`` are rows of ``seats``.
+
+    Step t leads to the seat that lies 1 + (a * t + b) mod (size - 1) further. As a is a prime larger
+    than any group, the first size - 1 steps meet every peer once, in an order that (a, b), drawn from
+    the seed and the accession, decide; nothing is stored for it.
+    """
+    others = F.col("size") - 1
+    drawn = F.xxhash64(F.lit(seed), "accession")
+    factor = F.element_at(F.array(*[F.lit(p).cast("long") for p in WALK_PRIMES]), (F.pmod(drawn, F.lit(len(WALK_PRIMES))) + 1).cast("int"))
+    begin = F.pmod(F.xxhash64(F.lit(seed + 1), "accession"), others)
+    steps = F.sequence(F.lit(first).cast("long"), F.least(F.lit(first + width).cast("long"), others) - 1)
+    asked = walkers.where(others > first).select("*", F.explode(steps).alias("_step"))
+    asked = asked.withColumn("seat", (F.col("seat") + 1 + (factor * F.col("_step") + begin) % others) % F.col("size"))
+    at = ["peer_group", "fiscal_year", "seat"]
+    peers = seats.select(*at, F.col("ticker").alias("asked_company"), F.col("accession").alias("asked_accession"))
+    return asked.select(*at, "accession").join(peers, at).select("accession", "asked_company", "asked_accession")
+
+
+def _peer_values(filings: DataFrame, concepts: DataFrame, facts: DataFrame) -> DataFrame:
     filed = _filed_values(filings, concepts, facts, S.COVERED_YEARS_BACK)
     usable = F.col("fact").isNotNull() & ~F.col("conflict") & (F.col("fact.value") != 0)
-    values = filed.select(
+    return filed.select(
         F.col("accession").alias("asked_accession"), "key", "unit", "years_before", "concept",
         F.when(usable, A.to_nano(F.col("fact.value"))).alias("nano"), _per_share().alias("per_share"),
     )
-    pairs = peer_pairs(filings, companies, nearest).join(values, "asked_accession")
-    checked = PR.lookup(pairs, printed)
+
+
+def _judged_peers(pairs: DataFrame, values: DataFrame, printed: DataFrame, filings: DataFrame) -> DataFrame:
+    checked = PR.lookup(pairs.join(values, "asked_accession"), printed)
     reason = F.when(F.col("nano").isNull(), F.lit("no_value_for_asked_company")).when(
         F.coalesce("may_print", F.lit(False)), F.lit("value_in_text")
     )
     return _labelled(checked.withColumn("drop_reason", reason), filings, "other_company")
 
 
+def other_companies(
+    filings: DataFrame,
+    companies: DataFrame,
+    facts: DataFrame,
+    printed: DataFrame,
+    concepts: DataFrame,
+    nearest: int | None = None,
+) -> DataFrame:
+    """Figures of a peer for a year the filing covers, kept when the filing cannot print them."""
+    values = _peer_values(filings, concepts, facts)
+    return _judged_peers(peer_pairs(filings, companies, nearest), values, printed, filings)
+
+
+def other_companies_until(
+    filings: DataFrame,
+    companies: DataFrame,
+    facts: DataFrame,
+    printed: DataFrame,
+    concepts: DataFrame,
+    enough: DataFrame,
+    seed: int,
+) -> DataFrame:
+    """``other_companies`` for as many peers as are needed. ``enough``: split, ticker, wanted, total.
+
+    Every filing walks over its group until its company has ``wanted`` kept candidates and its split
+    ``total``, or no peer is left; so a company stays short only if all its peers were asked about.
+    Rounds double, so there are at most as many as the largest group has binary digits, and what is
+    looked at grows with what is wanted, not with the square of a group.
+    """
+    seats = materialize(peer_seats(filings, companies), "peer-seats")
+    values = materialize(_peer_values(filings, concepts, facts), "peer-values")
+    walkers, seen, first, width = seats, None, 0, FIRST_STEPS
+    while True:
+        found = materialize(_judged_peers(walked_peers(seats, walkers, first, width, seed), values, printed, filings), "peer-round")
+        seen = found if seen is None else seen.unionByName(found)
+        first, width = first + width, first + width
+        kept = seen.where(F.col("drop_reason").isNull()).groupBy("split", "ticker").agg(F.count("*").alias("_kept"))
+        of_split = kept.groupBy("split").agg(F.sum("_kept").alias("_of_split"))
+        counted = enough.join(kept, ["split", "ticker"], "left").join(of_split, "split", "left")
+        short = counted.where((F.coalesce("_kept", F.lit(0)) < F.col("wanted")) | (F.coalesce("_of_split", F.lit(0)) < F.col("total")))
+        walkers = materialize(seats.where(F.col("size") - 1 > first).join(short, "ticker", "left_semi"), "peer-walkers")
+        if walkers.isEmpty():
+            return seen
+
+
 def unreported_concepts(filings: DataFrame, facts: DataFrame, words: DataFrame, sector: DataFrame) -> DataFrame:
     """Concepts the company never reported and whose phrases the filing does not contain."""
     reported = FA.reported_concepts(facts).select("cik", F.col("concept").alias("tag"), F.lit(True).alias("_reported"))

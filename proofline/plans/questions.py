@@ -32,9 +32,21 @@ class Corpus:
     off_domain: DataFrame
 
 
-def candidate_pool(corpus: Corpus, nearest_peers: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _enough(positives: DataFrame, companies: DataFrame, quotas: dict[str, tuple[int, int]]) -> DataFrame:
+    """split, ticker, wanted, total: how many negatives of one kind ``select`` may take of a company and
+    of a split: the end-to-end quota, and twice an even share of as many as there are positives."""
+    kinds = len(S.NEGATIVE_KINDS)
+    quota = F.create_map(*[x for split, (_, n) in quotas.items() for x in (F.lit(split), F.lit(-(-n // kinds)))])
+    mine = companies.where(F.col("split").isin(list(quotas))).select("split", "ticker")
+    sizes = mine.groupBy("split").agg(F.count("*").alias("_companies"))
+    totals = positives.groupBy("split").agg(F.ceil(F.count("*") / kinds).alias("total"))
+    joined = mine.join(sizes, "split").join(totals, "split", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return joined.select("split", "ticker", F.greatest(quota[F.col("split")].cast("long"), F.ceil(2 * F.col("total") / F.col("_companies"))).alias("wanted"), "total")
+
+
+def candidate_pool(corpus: Corpus, seed: int, quotas: dict[str, tuple[int, int]] = S.E2E_QUOTAS) -> tuple[DataFrame, DataFrame]:
     """(cases, drops). Each text is parsed once into printed numbers and words, which are written,
-    because five kinds of question read them."""
+    because five kinds of question read them; candidates are written, because cases and drops do."""
     chunks = IX.chunk_texts(corpus.texts)
     indexed = materialize(PR.printed_numbers(chunks), "printed-indexed")
     full = materialize(PR.printed_numbers(corpus.texts), "printed-full")
@@ -42,15 +54,17 @@ def candidate_pool(corpus: Corpus, nearest_peers: int | None = None) -> tuple[Da
         corpus.texts.select("accession", X.normalize_words(F.col("text")).alias("words")), "words"
     )
     c = corpus
+    positives = materialize(Q.positives(c.filings, c.facts, indexed, c.concepts), "positives")
+    enough = materialize(_enough(Q.cases_of(positives, c.companies, c.concepts), c.companies, quotas), "enough")
     kinds = [
-        (Q.positives(c.filings, c.facts, indexed, c.concepts), c.concepts),
-        (Q.wrong_years(c.filings, c.facts, full, c.concepts), c.concepts),
-        (Q.other_companies(c.filings, c.companies, c.facts, full, c.concepts, nearest_peers), c.concepts),
+        (positives, c.concepts),
+        (materialize(Q.wrong_years(c.filings, c.facts, full, c.concepts), "wrong-years"), c.concepts),
+        (Q.other_companies_until(c.filings, c.companies, c.facts, full, c.concepts, enough, seed), c.concepts),
         (
-            Q.unreported_concepts(c.filings, c.facts, words, c.sector),
+            materialize(Q.unreported_concepts(c.filings, c.facts, words, c.sector), "unreported"),
             c.sector.select("key", F.array(*[F.lit(p) for p in c.sector_phrasings]).alias("phrasings")),
         ),
-        (Q.off_domain(c.filings, words, c.off_domain), None),
+        (materialize(Q.off_domain(c.filings, words, c.off_domain), "off-domain"), None),
     ]
     cases = drops = None
     for candidates, phrasings in kinds:
@@ -124,9 +138,9 @@ def _with_gate_tier(marked: DataFrame, negatives: DataFrame, shares: DataFrame,
     return final.withColumn("e2e", F.col("_e2e")).drop("_e2e", "kind")
 
 
-def build(corpus: Corpus, seed: int, quotas: dict[str, tuple[int, int]] = S.E2E_QUOTAS, nearest_peers: int | None = None) -> dict[str, DataFrame]:
+def build(corpus: Corpus, seed: int, quotas: dict[str, tuple[int, int]] = S.E2E_QUOTAS) -> dict[str, DataFrame]:
     """The tables of a build: cases in their final order, drops, statistics and shortages."""
-    pool, drops = candidate_pool(corpus, nearest_peers)
+    pool, drops = candidate_pool(corpus, seed, quotas)
     held = materialize(pool, "question-pool")
     cases, short = select(held, corpus.companies, seed, quotas)
     return {

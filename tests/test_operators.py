@@ -168,6 +168,19 @@ def test_peer_rings_ask_about_each_company_as_often(spark):
     assert {(r.accession, r.asked_company) for r in Q.peer_pairs(filings, companies, 99).collect()} == every
 
 
+def test_a_walk_meets_every_peer_once(spark):
+    companies = spark.createDataFrame([(f"t{i}", "g" if i < 23 else "h" if i < 25 else "i") for i in range(26)], "ticker STRING, peer_group STRING")
+    filings = companies.select("ticker", F.lit(2024).alias("fiscal_year"), F.concat(F.lit("a"), "ticker").alias("accession"))
+    every = {(r.accession, r.asked_company) for r in Q.peer_pairs(filings, companies).collect()}
+    seats = Q.peer_seats(filings, companies).persist()
+    rounds = [[(r.accession, r.asked_company) for r in Q.walked_peers(seats, seats, first, width, 7).collect()] for first, width in ((0, 2), (2, 2), (4, 4), (8, 99))]
+    met = [pair for found in rounds for pair in found]
+    assert len(met) == len(set(met)) and set(met) == every
+    assert len(rounds[0]) == 23 * 2 + 2 and len({c for _, c in rounds[0]}) > 10
+    other = Q.walked_peers(seats, seats, 0, 2, 8).collect()
+    assert {(r.accession, r.asked_company) for r in other} != set(rounds[0])
+
+
 def test_index_audit_sees_each_defect(spark):
     rows = [(f"000000000{f}-24-000001", f"000000000{f}-24-000001:Item 1#{i}", i, [1.0, float(i)]) for f in range(3) for i in range(4)]
     chunks = spark.createDataFrame(rows, "accession STRING, chunk_id STRING, ordinal INT, vector ARRAY<FLOAT>")
