@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as X
 from proofline.operators import gates as G
+from proofline.operators import printed as PR
+from proofline.operators import questions as Q
 from proofline.operators import regression as RG
 from proofline.plans import acquiring as AC
 from proofline.plans import evaluation as EV
@@ -241,8 +243,7 @@ def test_a_default_threshold_is_fitted_on_all_runs(spark):
     assert EV.default_threshold(a, b).first() == EV.default_threshold(records(spark)).first()
 
 
-def test_a_question_set_fills_its_quotas(spark):
-    n = 8
+def small_corpus(spark, n):
     companies = spark.range(n).select(
         F.concat(F.lit("T"), "id").alias("ticker"), F.col("id").alias("cik"), F.concat(F.lit("Name"), "id").alias("name"),
         F.lit("eval").alias("split"), (F.col("id") % 2).cast("int").alias("fold"), F.lit("all").alias("peer_group"),
@@ -259,7 +260,28 @@ def test_a_question_set_fills_its_quotas(spark):
     concepts = spark.createDataFrame([("assets", ["Nope", "Assets"], "USD", ["{company}'s assets in {year}?", "State {company}'s assets of {year}."])], "key STRING, tags ARRAY<STRING>, unit STRING, phrasings ARRAY<STRING>")
     sector = spark.createDataFrame([("deposits", "Deposits", "deposits", ["total deposits"]), ("premiums", "Premiums", "premiums", ["premiums earned"]), ("assets", "Assets", "assets", ["zzz"])], "key STRING, tag STRING, label STRING, absent_phrases ARRAY<STRING>")
     off = spark.createDataFrame([(f"o{i}", "Where is {company}?", f"word{i}") for i in range(4)] + [("b", "What?", "balances")], "key STRING, question STRING, marker STRING")
-    corpus = PQ.Corpus(companies, filings, facts, texts, concepts, sector, ["What {label} of {company} in {year}?"], off)
+    return PQ.Corpus(companies, filings, facts, texts, concepts, sector, ["What {label} of {company} in {year}?"], off)
+
+
+def test_a_company_stays_short_only_if_every_peer_was_asked_about(spark):
+    c = small_corpus(spark, 8)
+    printed = PR.printed_numbers(c.texts).persist()
+    key = lambda rows: sorted((r.accession, r.asked_accession, r.key, r.years_before, r.drop_reason or "") for r in rows.collect())
+    ask = lambda wanted, total: Q.other_companies_until(
+        c.filings, c.companies, c.facts, printed, c.concepts, c.companies.select("split", "ticker", F.lit(wanted).alias("wanted"), F.lit(total).alias("total")), 3
+    )
+    every = key(Q.other_companies(c.filings, c.companies, c.facts, printed, c.concepts))
+    assert len(every) == 8 * 7 * 2
+    assert key(ask(10**6, 0)) == every == key(ask(0, 10**6))
+    some = key(ask(3, 20))
+    assert len(some) < len(every) and set(some) <= set(every)
+    kept = [k[0] for k in some if not k[4]]
+    assert len(kept) >= 20 and all(kept.count(f"F{i}") >= 3 for i in range(8))
+
+
+def test_a_question_set_fills_its_quotas(spark):
+    n = 8
+    corpus = small_corpus(spark, n)
     tables = PQ.build(corpus, 5, {"eval": (2, 4)})
     cases = tables["cases"].collect()
     assert len({c.id for c in cases}) == len(cases)
