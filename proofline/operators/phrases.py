@@ -1,54 +1,135 @@
 """Which texts contain which phrases as whole words, without comparing every text with every phrase.
 
-A phrase is found through its opening words (at most ``ANCHOR_WORDS``): a text's word runs meet
-them in an equality join, and only those candidates are read in full. Cost follows the length of
-the texts, not the number of phrases times it.
+Phrases are numbered by their normalised words, each once. A set of at most ``AUTOMATON_CHARS``
+characters becomes one automaton, built once in every task that reads texts: one walk over a text
+finds all its phrases however their openings overlap, and nothing is shuffled. A larger set is never
+sent to tasks whole: the runs of words of each text meet the phrases in an equality join on the hash
+of the whole run, so an opening that many phrases share brings no candidates. Hits are verified
+there. Both ways give the same rows; the size of the set decides only which is taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import text as X
 
-ANCHOR_WORDS = 4
+AUTOMATON_CHARS = 2_000_000
 
 
 def _words(normalized: Column) -> Column:
     return F.split(F.btrim(normalized), " ")
 
 
-def _runs(words: Column, width: int) -> Column:
-    """Hashes of every run of ``width`` words, each once."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i + (width - 1) <= F.size(words))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width))))
+def said(words: Column, phrases: list[str]) -> Column:
+    """Positions in ``phrases`` (normalised, padded) of those that occur in a ``normalize_words``
+    text, each once, ascending. Null and empty texts say nothing."""
 
+    @F.pandas_udf("array<int>")
+    def walk(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: str) -> DataFrame:
-    """(text_id, phrase_id), once per pair. ``texts``: text_id, words (``normalize_words``).
-    ``phrases``: phrase_id, phrase."""
-    opened = phrases.select(
-        phrase_id, X.normalize_words(F.col("phrase")).alias("_phrase")
-    ).where(F.btrim("_phrase") != "")
-    opened = opened.select(
-        phrase_id,
-        "_phrase",
-        F.least(F.size(_words(F.col("_phrase"))), F.lit(ANCHOR_WORDS)).alias("_width"),
-        F.xxhash64(F.slice(_words(F.col("_phrase")), 1, ANCHOR_WORDS)).alias("_anchor"),
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, phrase in enumerate(phrases):
+            automaton.add_word(phrase, number)
+        automaton.make_automaton()
+        for series in texts:
+            yield series.map(lambda t: sorted({n for _, n in automaton.iter(t)}) if t else [])
+
+    return walk(words) if phrases else F.array().cast("array<int>")
+
+
+def says_any(words: Column, phrases: list[str]) -> Column:
+    """Whether a ``normalize_words`` text contains any of the phrases, given in normalised form."""
+    return F.size(said(words, sorted(set(phrases)))) > 0
+
+
+def _run_hashes(words: Column, levels: int) -> Column:
+    """Arrays of hashes: entry k holds, for every place, the hash of the 2^k words from there.
+
+    A level is made from pairs of the level below, so the work is words times levels.
+    """
+    made = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+
+    def longer(built: Column, level: Column) -> Column:
+        last = F.element_at(built, -1)
+        span = F.pow(F.lit(2), level).cast("int")
+        places = F.size(last) - span
+        pairs = F.when(
+            places > 0,
+            F.transform(
+                F.sequence(F.lit(1), places),
+                lambda i: F.xxhash64(F.element_at(last, i), F.element_at(last, i + span)),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(built, F.array(pairs))
+
+    if levels == 0:
+        return made
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), made, longer)
+
+
+def _run(hashes: Column, length: Column, start: Column) -> Column:
+    """Hash of the run of ``length`` words from ``start``: two runs of the largest power of two in
+    the length, one from its first word on and one up to its last."""
+    level = F.floor(F.log2(length + F.lit(0.5))).cast("int")
+    one = F.element_at(hashes, level + 1)
+    return F.xxhash64(
+        length, F.element_at(one, start), F.element_at(one, start + length - F.pow(F.lit(2), level).cast("int"))
+    )
+
+
+def _all_runs(hashes: Column, count: Column, lengths: list[int]) -> Column:
+    """Hashes of every run of one of the lengths, each once."""
+    every = F.transform(
+        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= count),
+        lambda n: F.transform(F.sequence(F.lit(1), count - n + 1), lambda i: _run(hashes, n, i)),
+    )
+    return F.array_distinct(F.flatten(every))
+
+
+def _hits_by_runs(texts: DataFrame, numbered: DataFrame, text_id: str) -> DataFrame:
+    """(text_id, _phrase) by an equality join on whole runs, for sets of any size."""
+    sized = numbered.select(F.col("_phrase").alias("words")).withColumn("_n", F.size(_words(F.col("words"))))
+    # Lengths in words: distinct lengths number at most the root of twice the words of the set.
+    lengths = sorted(row["_n"] for row in sized.select("_n").distinct().collect())
+    if not lengths:
+        return texts.select(text_id, F.lit("").alias("_phrase")).where(F.lit(False))
+    levels = lengths[-1].bit_length() - 1
+    keyed = sized.withColumn("_h", _run_hashes(_words(F.col("words")), levels)).select(
+        F.col("words").alias("_phrase"), _run(F.col("_h"), F.col("_n"), F.lit(1)).alias("_run")
     )
-    # At most ANCHOR_WORDS numbers: which run lengths the phrases open with.
-    widths = sorted(row["_width"] for row in opened.select("_width").distinct().collect())
-    tokens = texts.select(text_id, _words(F.col("words")).alias("_w"))
-    runs = F.concat(*[_runs(F.col("_w"), width) for width in widths]) if widths else F.array().cast("array<bigint>")
-    met = (
-        tokens.select(text_id, F.explode(runs).alias("_anchor"))
-        .join(opened.select("_anchor").distinct(), "_anchor", "left_semi")
-        .distinct()
+    hashed = texts.select(text_id, _words(F.col("words")).alias("_w")).withColumn("_h", _run_hashes(F.col("_w"), levels))
+    # The outer form: a filter inferred from ``explode`` would build the hashes anew for every run.
+    runs = hashed.select(text_id, F.explode_outer(_all_runs(F.col("_h"), F.size("_w"), lengths)).alias("_run"))
+    met = runs.join(keyed, "_run").select(text_id, "_phrase")
+    read = met.join(texts.select(text_id, "words"), text_id)
+    return read.where(F.contains("words", F.col("_phrase"))).select(text_id, "_phrase").distinct()
+
+
+def phrase_hits(
+    texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: str, most_chars: int = AUTOMATON_CHARS
+) -> DataFrame:
+    """(text_id, phrase_id), once per pair. ``texts``: text_id, words (``normalize_words``).
+    ``phrases``: phrase_id, phrase. A phrase without words, or null, is never found."""
+    named = phrases.select(phrase_id, X.normalize_words(F.col("phrase")).alias("_phrase")).where(
+        F.btrim("_phrase") != ""
     )
-    candidates = met.join(opened.drop("_width"), "_anchor").select(text_id, phrase_id, "_phrase")
-    read = candidates.join(texts.select(text_id, "words"), text_id)
-    return read.where(F.contains("words", F.col("_phrase"))).select(text_id, phrase_id).distinct()
+    numbered = named.select("_phrase").distinct()
+    size = numbered.agg(F.coalesce(F.sum(F.length("_phrase")), F.lit(0))).first()[0]
+    if size > most_chars:
+        hits = _hits_by_runs(texts, numbered, text_id)
+    else:
+        # At most ``most_chars`` characters.
+        known = sorted(row["_phrase"] for row in numbered.collect())
+        found = texts.select(text_id, F.explode(said(F.col("words"), known)).alias("_number"))
+        listed = texts.sparkSession.createDataFrame(list(enumerate(known)), "_number int, _phrase string")
+        hits = found.join(listed, "_number").select(text_id, "_phrase")
+    return hits.join(named, "_phrase").select(text_id, phrase_id).distinct()
 
 
 def without_phrases(texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: str) -> DataFrame:

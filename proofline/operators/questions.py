@@ -16,6 +16,8 @@ Every function returns one row per checked fact with ``drop_reason``; null means
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -345,8 +347,8 @@ def drops_of(candidates: DataFrame) -> DataFrame:
 
 def leaks(cases: DataFrame, names: list[str], template: str, split: str = "eval") -> DataFrame:
     """Questions that carry a forbidden template, or in ``split`` a forbidden name."""
-    words = X.normalize_words(F.col("question"))
-    named = F.exists(F.array(*[F.lit(n) for n in names]), lambda n: X.contains_phrase(words, n))
+    known = [f" {' '.join(re.findall('[0-9a-z]+', n.lower()))} " for n in names]
+    named = PH.says_any(X.normalize_words(F.col("question")), [n for n in known if n.strip()])
     return cases.where(
         F.contains(F.lower("question"), F.lit(template.lower())) | ((F.col("split") == split) & named)
     )
