@@ -11,7 +11,9 @@ from proofline.catalog.tables import CASES_SQL, FILINGS_SQL, cases, cents, filin
 from proofline.operators import quality as Q
 from proofline.operators import questions as QS
 from proofline.operators import index as IX
+from proofline.session import scratch_path
 from proofline.sources import readers as RD
+from proofline.sources import store as ST
 from proofline.sources import writers as WR
 
 
@@ -281,3 +283,35 @@ def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 4 > 0, F.get(reasons, F.col("l_linenumber") % 4 - 1)).alias("drop_reason"),
     )
     return QS.drops_of(dropped)
+
+
+@REGISTRY.query(
+    "index_versions",
+    """WITH c AS (SELECT 'f' || vec_id // 40 AS accession, vec_id // 40 AS f, vec_id % 40 AS ordinal, vec_id FROM embeddings),
+      two AS (SELECT accession, ordinal, vec_id + 1 AS mark FROM c WHERE f % 3 = 0 AND f % 7 <> 0 AND ordinal % 2 = 0
+        UNION ALL SELECT accession, ordinal, vec_id FROM c WHERE f % 3 <> 0 AND f % 7 <> 0),
+      passages AS (SELECT 1 AS version, accession, ordinal, vec_id AS mark FROM c UNION ALL SELECT 2, * FROM two)
+      SELECT version, accession, ordinal, mark, count(*) OVER (PARTITION BY version, accession) AS chunks FROM passages""",
+)
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all vectors, then a third of its filings replaced and a seventh taken out; both
+    versions read back, with the number of passages that the filings' rows name."""
+    number = F.floor(F.col("vec_id") / 40)
+    passages = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("f"), number).alias("accession"), number.alias("f"), (F.col("vec_id") % 40).alias("ordinal"),
+        F.concat(F.lit("f"), number, F.lit(":"), F.col("vec_id") % 40).alias("chunk_id"), F.col("embedding").alias("vector"),
+        F.col("vec_id").alias("mark"),
+    )
+    path = scratch_path(spark, "index-versions")
+    filings = passages.select("accession", "f").distinct()
+    ST.write_filings(passages.drop("f"), filings, path, buckets=8)
+    changed = filings.where("f % 3 = 0 OR f % 7 = 0")
+    again = passages.where("f % 7 <> 0 AND ordinal % 2 = 0").withColumn("mark", F.col("mark") + 1)
+    ST.write_filings(again.drop("f"), changed, path)
+
+    def at(version: int) -> DataFrame:
+        listed = ST.read_filings(spark, path, version).select("accession", "chunks")
+        held = ST.read_chunks(spark, path, version).join(listed, "accession")
+        return held.select(F.lit(version).alias("version"), "accession", "ordinal", "mark", "chunks")
+
+    return at(1).unionByName(at(2))

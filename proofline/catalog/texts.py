@@ -47,6 +47,22 @@ def phrase_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PH.without_phrases(_words(spark, sf_dir), _phrases(spark, sf_dir), "doc_id", "item_id").select("doc_id")
 
 
+@REGISTRY.query(
+    "phrase_openings",
+    HITS_SQL
+    + """, o AS (SELECT item_id, n, ' ' || array_to_string(string_split(trim(ph), ' ')[1:n], ' ') || ' ' AS ph
+          FROM p, (SELECT unnest([3, 4, 5, 6, 8, 11, 16]) AS n) WHERE len(string_split(trim(ph), ' ')) >= n)
+        SELECT doc_id, item_id, n FROM d JOIN o ON contains(w, ph)""",
+)
+def phrase_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each item's opening is quoted: phrases that share their first words, met by whole runs."""
+    words = F.split(F.btrim(X.normalize_words(F.col("phrase"))), " ")
+    lengths = F.explode(F.array(*[F.lit(n) for n in (3, 4, 5, 6, 8, 11, 16)]))
+    openings = _phrases(spark, sf_dir).select("item_id", words.alias("w"), lengths.alias("n")).where(F.size("w") >= F.col("n"))
+    openings = openings.select(F.struct("item_id", "n").alias("key"), F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"))
+    return PH.phrase_hits(_words(spark, sf_dir), openings, "doc_id", "key", most_chars=0).select("doc_id", "key.*")
+
+
 @REGISTRY.query(
     "leakage_check",
     "WITH c AS (SELECT conv_id, turn, " + WORDS_SQL.format("text") + " AS w, lower(text) AS low FROM conversations WHERE role = 'user') "

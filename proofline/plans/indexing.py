@@ -14,7 +14,7 @@ from proofline import schemas as S
 from proofline.functions import text as X
 from proofline.operators import quality as Q
 from proofline.session import spread
-from proofline.sources import writers as W
+from proofline.sources import store as ST
 
 Embed = Callable[[list[str]], np.ndarray]
 
@@ -106,7 +106,7 @@ def hashing_embedder(dimensions: int = 64) -> Embed:
 def index_filings(
     documents: DataFrame, embed: Embed, path: str, lowercase: bool = False, dimensions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Parse, cut, embed and write filings; returns (index rows written, filings refused).
+    """Parse, cut, embed and write filings; returns (filings of the index, filings refused).
 
     ``documents``: accession, cik, form, company, filing_date, report_date, document, content.
     """
@@ -116,6 +116,6 @@ def index_filings(
     )
     chunks = embedded(chunk_texts(texts), embed, lowercase=lowercase)
     filings = sound.select("accession", "cik", "fiscal_year", "form", "company", "filing_date", "report_date")
-    W.write_index(chunks, filings, path)
-    written = documents.sparkSession.read.parquet(f"{path}/manifest")
+    version = ST.write_filings(chunks, filings, path)
+    written = ST.read_filings(documents.sparkSession, path, version)
     return written, refused

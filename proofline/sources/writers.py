@@ -1,4 +1,4 @@
-"""Writers: canonical JSON lines, index tables, recordings and report pages."""
+"""Writers: canonical JSON lines, recordings and report pages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions.canonical import canonical_json, canonical_row
-from proofline.operators import index as IX
 from proofline.operators import retrieval as R
 
 
@@ -42,27 +41,6 @@ def compact_recording(recordings: DataFrame, path: str) -> None:
     R.latest_recordings(recordings).orderBy("kind", "key").write.mode("errorifexists").parquet(path)
 
 
-def write_index(chunks: DataFrame, filings: DataFrame, path: str) -> None:
-    """Passages partitioned by filing: a filing written again replaces only itself. The manifest
-    follows, so an index with a manifest row has that filing's passages.
-
-    Rows of one filing are spread by ordinal before the write, so a large filing is several files
-    written by several tasks.
-    """
-    spread = chunks.repartition("accession", F.floor(F.col("ordinal") / 10_000))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accession").parquet(
-        f"{path}/chunks"
-    )
-    # The manifest describes what was written, so nothing is embedded a second time for it.
-    written = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks").join(
-        filings.select("accession"), "accession", "left_semi"
-    )
-    manifest = filings.join(IX.filing_digests(written), "accession")
-    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("accession").parquet(
-        f"{path}/manifest"
-    )
-
-
 def write_trimmed_facts(facts: DataFrame, path: str) -> None:
     facts.repartition("cik").sortWithinPartitions("cik", "concept", "ordinal").write.mode("overwrite").parquet(path)
 

@@ -16,6 +16,7 @@ from proofline.plans import evaluation as EV
 from proofline.plans import indexing as IX
 from proofline.plans import questions as PQ
 from proofline.sources import readers as RD
+from proofline.sources import store as ST
 from proofline.sources import writers as W
 
 REVENUE = "Total revenue was $1,234 million in fiscal 2024, and the market grew. " * 6
@@ -39,16 +40,16 @@ def index(spark, tmp_path_factory):
     written, refused = IX.index_filings(documents(spark), IX.hashing_embedder(), path)
     assert [r.violations for r in refused.collect()] == [["report_date"]]
     assert [(r.accession, r.dimensions) for r in written.collect()] == [("0000000001-24-000001", 64)]
-    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks = ST.read_chunks(spark, path)
     return EV.Index(written.select("cik", "fiscal_year", "accession"), chunks), path
 
 
 def test_an_index_written_again_replaces_its_filing(spark, tmp_path):
     path = str(tmp_path / "twice")
     IX.index_filings(documents(spark), IX.hashing_embedder(), path)
-    before = spark.read.parquet(f"{path}/chunks").count()
+    before = ST.read_chunks(spark, path).count()
     IX.index_filings(documents(spark), IX.hashing_embedder(), path)
-    assert spark.read.parquet(f"{path}/chunks").count() == before
+    assert ST.read_chunks(spark, path).count() == before
 
 
 def test_a_split_is_asked_graded_and_recorded(spark, index):
