@@ -9,6 +9,7 @@ from proofline.catalog.compare import REGISTRY
 from proofline.catalog.tables import table
 from proofline.operators import gates as G
 from proofline.session import scratch_path
+from proofline.sources import store as ST
 from proofline.streaming import jobs as J
 
 
@@ -107,8 +108,9 @@ def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding").alias("vector"),
     )
     gate = lambda q, y, best: G.all_of(G.period_guard(q, y), G.cosine_gate(best, 0.3))
-    path = scratch_path(spark, "questions")
-    J.answer_questions(arriving, filings, chunks, path, gate).awaitTermination()
+    path, index = scratch_path(spark, "questions"), scratch_path(spark, "questions-index")
+    ST.write_filings(chunks, filings, index, buckets=8)
+    J.answer_from_index(arriving, index, path, gate).awaitTermination()
     like = spark.createDataFrame(
         [], "question_id BIGINT, accession INT, best_score DOUBLE, retrieved ARRAY<BIGINT>, admitted BOOLEAN, reason STRING"
     )

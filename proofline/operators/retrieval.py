@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from proofline import schemas as S
+from proofline.session import materialize
 
 BLOCK_ROWS = 512
+MOST_BROADCAST = 64 << 20
 
 
 def resolve_scope(questions: DataFrame, filings: DataFrame) -> DataFrame:
@@ -135,11 +137,16 @@ def scoped_topk(
         ),
         ["accession", "block"],
     ).select("q_ids", "q_vectors", "c_ids", "c_orders", "c_vectors")
+    return _best_of(pairs, questions, c, k)
+
+
+def _best_of(pairs: DataFrame, questions: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of pairs of blocks, whose ids have the types of the questions and the blocks."""
     schema = T.StructType(
         [
             T.StructField("question_id", questions.schema["question_id"].dataType),
-            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
-            T.StructField("ordinal", chunks.schema["ordinal"].dataType),
+            T.StructField("chunk_id", blocks.schema["ids"].dataType.elementType),
+            T.StructField("ordinal", blocks.schema["orders"].dataType.elementType),
             T.StructField("score", T.DoubleType()),
         ]
     )
@@ -147,6 +154,35 @@ def scoped_topk(
     return top_k(best, k)
 
 
+def passage_blocks(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Passages as the blocks that ``blocks_topk`` reads, to be stored once."""
+    return vector_blocks(chunks, "accession", "chunk_id", "vector", "ordinal", block_rows)
+
+
+def blocks_topk(
+    questions: DataFrame, blocks: DataFrame, k: int = S.DEFAULT_TOP_K, most_bytes: int = MOST_BROADCAST
+) -> DataFrame:
+    """``scoped_topk`` over stored blocks (``passage_blocks``).
+
+    Questions whose vectors take at most ``most_bytes`` go to where the blocks are read, and no block
+    moves. More of them meet the blocks by (filing, block) in a shuffle; the result is the same.
+    """
+    q = materialize(
+        vector_blocks(questions, "accession", "question_id", "vector", "question_id"), "question-blocks"
+    ).select("accession", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    c = blocks.select(
+        "accession", "block", F.col("ids").alias("c_ids"), F.col("orders").alias("c_orders"), F.col("vectors").alias("c_vectors")
+    )
+    size = q.agg(F.coalesce(F.sum(8 * (F.size("q_vectors") + F.size("q_ids"))), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        pairs = c.join(F.broadcast(q), "accession")
+    else:
+        last = blocks.groupBy("accession").agg(F.max("block").alias("_last"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("block")
+        pairs = q.join(last, "accession").select("accession", every, "q_ids", "q_vectors").join(c, ["accession", "block"])
+    return _best_of(pairs.select("q_ids", "q_vectors", "c_ids", "c_orders", "c_vectors"), questions, blocks, k)
+
+
 def top_k(scored: DataFrame, k: int = S.DEFAULT_TOP_K) -> DataFrame:
     """The ``k`` best rows of each question, numbered from one. Ranks are cut before the shuffle."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "ordinal")

@@ -1,6 +1,7 @@
 """Index tables in hash buckets, replaced by filing, read at a version.
 
   <path>/chunks/write=<id>/bucket=<b>    passages
+  <path>/blocks/write=<id>/bucket=<b>    their vectors in blocks, as searches read them
   <path>/filings/write=<id>/bucket=<b>   one row per filing, with the digest of its passages
   <path>/log/version=<v>                 one row per bucket that version v wrote: bucket, write, buckets
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.operators import index as IX
+from proofline.operators import retrieval as R
 
 BUCKETS = 256
 BLOCK_ROWS = 100_000
@@ -59,14 +61,21 @@ def _read(spark: SparkSession, path: str, table: str, writes: dict[int, str]) ->
     return spark.read.option("basePath", f"{path}/{table}").parquet(*folders).drop("write")
 
 
-def _table(spark: SparkSession, path: str, table: str, version: int | None, asked: DataFrame | None) -> DataFrame:
+def _table(
+    spark: SparkSession, path: str, table: str, version: int | None, asked: DataFrame | None, exact: bool = True
+) -> DataFrame:
+    """``asked`` names the buckets that are read; with ``exact``, other filings of them are left out."""
     _, buckets, writes = _state(spark, path, version)
     if not writes:
         raise ValueError(f"{path} holds no index")
     rows = _read(spark, path, table, writes)
     if asked is not None:
         wanted = asked.select("accession", bucket_of(F.col("accession"), buckets).alias("bucket")).distinct()
-        rows = rows.join(wanted, ["bucket", "accession"], "left_semi")
+        # At most ``buckets`` numbers: the folders that are read.
+        some = {row["bucket"] for row in wanted.select("bucket").distinct().collect()}
+        rows = _read(spark, path, table, {b: w for b, w in writes.items() if b in some} or writes)
+        if exact:
+            rows = rows.join(wanted, ["bucket", "accession"], "left_semi")
     return rows.drop("bucket")
 
 
@@ -81,6 +90,11 @@ def read_filings(spark: SparkSession, path: str, version: int | None = None, ask
     return _table(spark, path, "filings", version, asked).where(F.col("accession").isNotNull())
 
 
+def read_blocks(spark: SparkSession, path: str, version: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Blocks of vectors (accession, block, ids, orders, vectors) at a version."""
+    return _table(spark, path, "blocks", version, asked, exact=False).where(F.col("accession").isNotNull())
+
+
 def newest_version(spark: SparkSession, path: str) -> int:
     """0 where there is no index."""
     return _state(spark, path, None)[0]
@@ -116,8 +130,12 @@ def write_filings(chunks: DataFrame, filings: DataFrame, path: str, buckets: int
     block = F.floor(F.coalesce("ordinal", F.lit(0)) / BLOCK_ROWS)
     whole = own.unionByName(marks, allowMissingColumns=True)
     whole.repartition("bucket", block).write.partitionBy("bucket").parquet(f"{path}/chunks/write={write}")
-    # Digests describe what was written, so nothing is embedded a second time for them.
     written = _read(spark, path, "chunks", {b: write for b in touched}).where(F.col("chunk_id").isNotNull())
+    blocks = R.passage_blocks(written).withColumn("bucket", bucket_of(F.col("accession"), buckets))
+    blocks = blocks.unionByName(marks, allowMissingColumns=True)
+    file = F.floor(F.coalesce("block", F.lit(0)) * R.BLOCK_ROWS / BLOCK_ROWS)
+    blocks.repartition("bucket", file).write.partitionBy("bucket").parquet(f"{path}/blocks/write={write}")
+    # Digests describe what was written, so nothing is embedded a second time for them.
     described = placed.join(IX.filing_digests(written.join(gone, "accession", "left_semi")), "accession")
     if before:
         described = described.unionByName(_read(spark, path, "filings", before).join(gone, "accession", "left_anti"))

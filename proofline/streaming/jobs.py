@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from proofline import schemas as S
 from proofline.operators import gates as G
 from proofline.operators import retrieval as R
+from proofline.sources import store as ST
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
@@ -60,21 +61,58 @@ def answer_questions(
     """Each arriving question (question_id, question, cik, fiscal_year, vector) is resolved,
     searched and gated; the decision is appended. Ranks need a whole batch, so a batch is handled
     as a table."""
-    decide = gate or (lambda q, y, best: G.all_of(G.period_guard(q, y), G.cosine_gate(best)))
+    decide = gate or default_gate
 
     def decisions(rows: DataFrame, folder: str) -> None:
-        append(decided(rows, filings, chunks, decide, k), folder)
+        append(decided(rows, filings, lambda asked: R.scoped_topk(asked, chunks, k), decide), folder)
 
     return start(questions, decisions, path)
 
 
+def answer_from_index(
+    questions: DataFrame,
+    index: str,
+    path: str,
+    gate: Callable[[Column, Column, Column], Column] | None = None,
+    k: int = S.DEFAULT_TOP_K,
+    version: int | None = None,
+) -> StreamingQuery:
+    """``answer_questions`` over a stored index (``sources.store``), at ``version`` or, if none is
+    named, at the version that is the newest when a batch begins.
+
+    A batch reads the stored blocks of the buckets its filings are in, where they lie: its questions are
+    sent there, and no passage is blocked or moved again.
+    """
+    decide = gate or default_gate
+
+    def decisions(rows: DataFrame, folder: str) -> None:
+        spark = rows.sparkSession
+        at = ST.newest_version(spark, index) if version is None else version
+        filings = ST.read_filings(spark, index, at).select("cik", "fiscal_year", "accession")
+
+        def search(asked: DataFrame) -> DataFrame:
+            return R.blocks_topk(asked, ST.read_blocks(spark, index, at, asked), k)
+
+        append(decided(rows, filings, search, decide), folder)
+
+    return start(questions, decisions, path)
+
+
+def default_gate(question: Column, year: Column, best: Column) -> Column:
+    return G.all_of(G.period_guard(question, year), G.cosine_gate(best))
+
+
 def decided(
-    questions: DataFrame, filings: DataFrame, chunks: DataFrame, decide: Callable[[Column, Column, Column], Column], k: int
+    questions: DataFrame,
+    filings: DataFrame,
+    search: Callable[[DataFrame], DataFrame],
+    decide: Callable[[Column, Column, Column], Column],
 ) -> DataFrame:
-    """Questions with their filing, best passages and decision."""
+    """Questions with their filing, best passages and decision. ``search`` ranks the passages of
+    questions (question_id, accession, vector)."""
     scoped = R.resolve_scope(questions, filings)
     inside = scoped.where(~F.col("out_of_scope"))
-    top = R.scoped_topk(inside.select("question_id", "accession", "vector"), chunks, k)
+    top = search(inside.select("question_id", "accession", "vector"))
     best = top.groupBy("question_id").agg(
         F.round(F.max("score"), S.SCORE_DIGITS).alias("best_score"),
         F.transform(

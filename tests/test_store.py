@@ -2,9 +2,11 @@
 
 import glob
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofline.operators import retrieval as R
 from proofline.sources import store as ST
 
 
@@ -97,3 +99,27 @@ def test_a_write_cut_off_is_not_seen_and_a_second_writer_is_refused(spark, tmp_p
         with pytest.raises(Exception, match="already exists"):
             ST.write_filings(_passages(spark, ["f"], 7, "b"), _named(spark, ["f"]), path)
     assert _held(ST.read_chunks(spark, path)) == {("f", "a"): 2, ("g", "c"): 4}
+
+
+def _vectors(spark):
+    draw = np.random.default_rng(3)
+    rows = [(f"f{i % 3 if i % 2 else 0}", f"c{i}", i, [float(x) for x in draw.normal(size=4)]) for i in range(1500)]
+    return spark.createDataFrame(rows, "accession STRING, chunk_id STRING, ordinal INT, vector ARRAY<FLOAT>")
+
+
+def test_stored_blocks_answer_like_passages_and_do_not_move(spark, tmp_path):
+    path = str(tmp_path / "index")
+    chunks = _vectors(spark)
+    ST.write_filings(chunks, chunks.select("accession").distinct(), path, buckets=4)
+    asked = chunks.where("ordinal % 7 = 0").select(F.col("ordinal").alias("question_id"), "accession", "vector")
+    asked = asked.unionByName(spark.createDataFrame([(-1, "none", [1.0] * 4)], asked.schema))
+    wanted = sorted(R.scoped_topk(asked, chunks, 3).collect())
+    assert len(wanted) == 3 * asked.where("question_id >= 0").count()
+    blocks = ST.read_blocks(spark, path, asked=asked)
+    for most in (R.MOST_BROADCAST, 0):
+        assert sorted(R.blocks_topk(asked, blocks, 3, most).collect()) == wanted
+    # From the scan of the stored blocks to the products there is a join that moves only questions.
+    plan = R.blocks_topk(asked, blocks, 3)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "BroadcastHashJoin" in below and "hashpartitioning" not in below
+    assert R.blocks_topk(asked.where("question_id < 0"), blocks, 3).count() == 0
