@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofline import schemas as S
 from proofline.catalog.compare import REGISTRY
@@ -13,6 +14,7 @@ from proofline.operators import questions as QS
 from proofline.operators import index as IX
 from proofline.session import scratch_path
 from proofline.sources import readers as RD
+from proofline.sources import recordings as RL
 from proofline.sources import store as ST
 from proofline.sources import writers as WR
 
@@ -315,3 +317,51 @@ def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return held.select(F.lit(version).alias("version"), "accession", "ordinal", "mark", "chunks")
 
     return at(1).unionByName(at(2))
+
+
+@REGISTRY.query(
+    "recording_log",
+    """SELECT role AS kind, conv_id || ':' || turn AS "key",
+         CASE WHEN turn % 2 = 1 THEN 'again ' || text WHEN conv_id % 3 = 0 THEN 'anew ' || text ELSE text END AS response
+       FROM conversations""",
+)
+def recording_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns recorded, a third recorded anew, merged, every second one recorded twice more."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("key"),
+        F.lit("{}").alias("request"), F.col("text").alias("response"), F.lit(0).alias("position"),
+    )
+    path = scratch_path(spark, "recording-log")
+    RL.append_calls(turns, path)
+    RL.append_calls(turns.where("conv_id % 3 = 0").withColumn("response", F.concat(F.lit("anew "), "response")), path)
+    RL.compact(spark, path)
+    later = turns.where("turn % 2 = 1")
+    second = later.withColumns({"position": F.lit(1), "response": F.concat(F.lit("again "), "response")})
+    RL.append_calls(second.unionByName(later), path)
+    return RL.read_calls(spark, path).select("kind", "key", "response")
+
+
+@REGISTRY.query(
+    "run_roundtrip",
+    "WITH " + CASES_SQL
+    + """SELECT id::VARCHAR AS id, kind, fold, ticker::VARCHAR AS ticker, answerable::INT AS answerable, negative_kind, e2e::INT AS e2e,
+           outcome, cosine, (SELECT count(*) FROM cases) AS listed, (SELECT count(*) FROM cases WHERE id % 20 = 0) AS repeats FROM cases""",
+)
+def run_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written as canonical lines with its manifest and read back: its cases, how many the
+    manifest lists and how many were repeated. Broken lines or a short run end the query."""
+    records = cases(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("id", "ticker")})
+    known = [f.name for f in T.StructType.fromDDL(S.CASE_RECORD).fields]
+    records = records.select(*[c for c in known if c in records.columns])
+    again = records.where(F.col("id").cast("long") % 20 == 0).select("id", F.lit(True).alias("identical"))
+    listed = records.agg(F.lit("eval").alias("split"), F.count("*").alias("cases"))
+    folder = scratch_path(spark, "run")
+    WR.write_run(records, again, listed, folder)
+    read, repeats, manifest, bad = RD.read_run(spark, folder)
+    if bad.limit(1).count() or RD.incomplete_run(read, manifest).limit(1).count():
+        raise ValueError("the run was not read back whole")
+    counts = manifest.select(F.col("cases").alias("listed")).crossJoin(repeats.agg(F.count("*").alias("repeats")))
+    return read.select(
+        "id", "kind", "fold", "ticker", F.col("answerable").cast("int").alias("answerable"), "negative_kind",
+        F.col("e2e").cast("int").alias("e2e"), "outcome", F.col("scores")["cosine"].alias("cosine"),
+    ).crossJoin(F.broadcast(counts))
