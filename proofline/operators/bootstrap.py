@@ -11,9 +11,10 @@ row, and draws are the same on every run, in any order, and after a lost executo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,18 @@ from proofline.functions.statistics import check_confidence, effect_factor
 from proofline.operators.running import MAX_BUCKETS, running_totals, with_bucket
 from proofline.session import materialize
 
-#: Replicates whose weights are one matrix, and histogram rows of a bucket (about).
-CHUNK, BUCKET_ROWS = 100, 1 << 15
+#: Replicates whose weights are one matrix, histogram rows of a bucket (about) and rows multiplied at once.
+CHUNK, BUCKET_ROWS, SLICE_ROWS = 100, 1 << 22, 1 << 12
 #: Clusters of a leaf, and ranges of replicates over which the work on a leaf is dealt.
 LEAF, RANGES = 4096, 16
 #: Groups in which the states of leaves are merged first.
 MERGED = 64
+#: Replicates whose draws from a leaf are hashed together.
+TOGETHER = 10
+#: Start, constants and turns of MD5 (fixed values).
+MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+MD5_CONSTANTS = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+MD5_TURNS = [turn for part in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for turn in part * 4]
 
 
 def numbered_clusters(clusters: DataFrame) -> DataFrame:
@@ -62,6 +69,59 @@ def _leaf_draws(k: int, lo: int, hi: int, leaf: int, size: int, key: str) -> int
     return k
 
 
+def _md5_heads(openings: list[bytes], counts: list[int]) -> np.ndarray:
+    """The first four bytes, as one number each, of the MD5 of each opening followed by 0, 1, ... count - 1."""
+    count, digits, begin = sum(counts), len(str(max(counts))), len(openings[0])
+    if not count or begin + digits > 55 or any(len(opening) != begin for opening in openings):
+        # Texts of different shapes, or of more than one block of MD5.
+        found = (hashlib.md5(o + str(slot).encode()).digest()[:4] for o, n in zip(openings, counts) for slot in range(n))
+        return np.frombuffer(b"".join(found), ">u4").astype(np.uint32)
+    slots = np.arange(max(counts))
+    tail = np.zeros((len(slots), 64 - begin), np.uint8)
+    for size in range(1, digits + 1):
+        rows = slots[10 ** (size - 1) if size > 1 else 0 : 10**size]
+        for place in range(size):
+            tail[rows, place] = 48 + rows // 10 ** (size - 1 - place) % 10
+        tail[rows, size] = 0x80
+        tail[rows, 56 - begin : 58 - begin] = np.frombuffer((8 * (begin + size)).to_bytes(2, "little"), np.uint8)
+    text = np.empty((count, 64), np.uint8)
+    for opening, end, n in zip(openings, np.cumsum(counts), counts):
+        text[end - n : end, :begin] = np.frombuffer(opening, np.uint8)
+        text[end - n : end, begin:] = tail[:n]
+    words = np.ascontiguousarray(text.view("<u4").T)
+    # A word that all rows share is one number, added to the constant of its round.
+    same = [(word == word[0]).all() for word in words]
+    a, b, c, d = (np.full(count, x, np.uint32) for x in MD5_START)
+    spare, other = np.empty_like(a), np.empty_like(a)
+    for number, (constant, turn) in enumerate(zip(MD5_CONSTANTS, MD5_TURNS)):
+        part, at = divmod(number, 16)
+        at = (at, (5 * at + 1) % 16, (3 * at + 5) % 16, 7 * at % 16)[part]
+        if part == 2:
+            np.bitwise_xor(b, c, out=spare)
+            np.bitwise_xor(spare, d, out=spare)
+        elif part == 3:
+            np.invert(d, out=spare)
+            np.bitwise_or(spare, b, out=spare)
+            np.bitwise_xor(spare, c, out=spare)
+        else:
+            x, y, z = (b, c, d) if part == 0 else (d, b, c)
+            np.bitwise_xor(y, z, out=spare)
+            np.bitwise_and(spare, x, out=spare)
+            np.bitwise_xor(spare, z, out=spare)
+        np.add(spare, a, out=spare)
+        if same[at]:
+            np.add(spare, np.uint32((constant + int(words[at][0])) & 0xFFFFFFFF), out=spare)
+        else:
+            np.add(spare, words[at], out=spare)
+            np.add(spare, np.uint32(constant), out=spare)
+        np.left_shift(spare, np.uint32(turn), out=other)
+        np.right_shift(spare, np.uint32(32 - turn), out=spare)
+        np.bitwise_or(spare, other, out=spare)
+        np.add(spare, b, out=spare)
+        a, d, c, b, spare = d, c, b, spare, a
+    return (a + np.uint32(MD5_START[0])).byteswap()
+
+
 def leaf_weights(seed: int, replicates: range, stratum: str, size: int, leaf: int) -> np.ndarray:
     """How often each replicate drew each cluster of a leaf: replicates by positions in the leaf."""
     leaves = -(-size // LEAF)
@@ -69,15 +129,12 @@ def leaf_weights(seed: int, replicates: range, stratum: str, size: int, leaf: in
     out = np.empty((len(replicates), here))
     # A stratum of one leaf needs no leaf in its name.
     place = stratum if leaves == 1 else f"{stratum}/{leaf}"
-    for row, replicate in enumerate(replicates):
-        k = _leaf_draws(size, 0, leaves, leaf, size, f"{seed}:{replicate}:{stratum}")
-        opening = hashlib.md5(f"{seed}:{replicate}:{place}:".encode())
-        raw = bytearray()
-        for slot in range(k):
-            draw = opening.copy()
-            draw.update(str(slot).encode())
-            raw += draw.digest()[:4]
-        out[row] = np.bincount(np.frombuffer(bytes(raw), ">u4") % np.uint32(here), minlength=here)
+    for first in range(0, len(replicates), TOGETHER):
+        some = replicates[first : first + TOGETHER]
+        counts = [_leaf_draws(size, 0, leaves, leaf, size, f"{seed}:{replicate}:{stratum}") for replicate in some]
+        heads = _md5_heads([f"{seed}:{replicate}:{place}:".encode() for replicate in some], counts)
+        drawn = np.repeat(np.arange(len(some)) * here, counts) + heads % np.uint32(here)
+        out[first : first + len(some)] = np.bincount(drawn, minlength=len(some) * here).reshape(-1, here)
     return out
 
 
@@ -86,9 +143,12 @@ def _leaves(clusters: DataFrame, resamples: int) -> DataFrame:
     if resamples < 1:
         raise ValueError(f"resamples must be positive, got {resamples}")
     sizes = clusters.groupBy("stratum").agg(F.count("*").alias("_size"))
-    return numbered_clusters(clusters).join(sizes, "stratum").select(
+    dealt = numbered_clusters(clusters).join(sizes, "stratum").select(
         "*", F.floor(F.col("position") / LEAF).alias("_leaf"), F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range")
     )
+    # A leaf is few bytes and many draws: adaptive execution, which sees bytes only, is not to join leaves into few tasks.
+    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return dealt.repartition(tasks, "stratum", "_size", "_leaf", "_range")
 
 
 def _range_of(number: int, resamples: int) -> list[range]:
@@ -266,11 +326,11 @@ def auroc_replicates(
 ) -> DataFrame:
     """(replicate, value): the AUROC of each replicate, null where it drew one class only.
 
-    Scores are cut into ordered buckets and replicates into chunks. For one bucket and chunk a task
-    multiplies the weights of the clusters (clusters by replicates) with the bucket's histogram, and
+    Scores are cut into ordered buckets and replicates into ranges. For one bucket and range a task
+    multiplies the weights of the clusters (clusters by replicates) with the bucket's histogram, slice by slice, and
     gives one row per replicate: its positives, negatives and ordered pairs inside the bucket. The
-    pairs between buckets follow from those rows. So what is shuffled after the products is buckets
-    times replicates; no row is repeated for a replicate and no pair of clusters is formed.
+    pairs between buckets follow from those rows. A weight is a byte and goes once to each bucket that has its
+    cluster, a histogram row once to each range; no pair of clusters is formed.
     """
     positive = F.col(label).cast("int")
     hist = cases.groupBy(
@@ -282,35 +342,33 @@ def auroc_replicates(
     def pack(key: tuple, leaf: pa.Table) -> pa.Table:
         stratum, size, number, part = (k.as_py() for k in key)
         at = leaf.column("position").to_numpy() - number * LEAF
-        found = []
-        for replicates in _range_of(part, resamples):
-            drawn = leaf_weights(seed, replicates, stratum, size, number).T[at].astype(np.int32)
-            cluster, place = np.nonzero(drawn)
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(cluster, minlength=len(at)))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (place, drawn[cluster, place])]
-            chunk = pa.array(np.full(len(at), replicates.start // CHUNK), pa.int32())
-            columns = [chunk, leaf.column("stratum").combine_chunks(), leaf.column("cluster").combine_chunks(), *lists]
-            found.append(pa.table(columns, ["chunk", "stratum", "cluster", "places", "weights"]))
-        return pa.concat_tables(found) if found else nothing.slice(0, 0)
+        drawn = [leaf_weights(seed, r, stratum, size, number).T[at] for r in _range_of(part, resamples)]
+        if not drawn:
+            return nothing
+        whole = np.concatenate(drawn, axis=1)
+        rows = [row.tobytes() for row in whole.astype(np.uint8 if whole.max() < 256 else np.uint32)]
+        ranges = pa.array(np.full(len(at), part), pa.int32())
+        columns = [ranges, leaf.column("stratum").combine_chunks(), leaf.column("cluster").combine_chunks(), pa.array(rows, pa.binary())]
+        return pa.table(columns, ["range", "stratum", "cluster", "weights"])
 
     kind = hist.schema["cluster"].dataType
     nothing = pa.table(
-        [pa.array([], t) for t in (pa.int32(), pa.string(), to_arrow_type(kind), pa.list_(pa.int32()), pa.list_(pa.int32()))],
-        ["chunk", "stratum", "cluster", "places", "weights"],
+        [pa.array([], t) for t in (pa.int32(), pa.string(), to_arrow_type(kind), pa.binary())], ["range", "stratum", "cluster", "weights"]
     )
     packed = clusters.groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(
-        pack, f"chunk int, stratum string, cluster {kind.simpleString()}, places array<int>, weights array<int>"
+        pack, f"range int, stratum string, cluster {kind.simpleString()}, weights binary"
     )
-    # A cluster's draws in one chunk of replicates are one row.
+    # A cluster's draws in one range of replicates are one row.
     packed = materialize(packed, "weights")
     buckets = min(MAX_BUCKETS, -(-hist.count() // BUCKET_ROWS)) or 1
     placed = materialize(with_bucket(hist.where("score is not null"), "score", buckets), "bucketed-histograms")
     present = placed.select("_bucket", "stratum", "cluster").distinct()
-    drawn = packed.join(present, ["stratum", "cluster"]).select("chunk", F.col("_bucket").alias("bucket"), _member(), "places", "weights")
-    chunks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // CHUNK))).alias("chunk")
-    asked = placed.select(chunks, F.col("_bucket").alias("bucket"), _member(), F.col("score").cast("double").alias("score"), "pos", "neg")
-    parts = asked.groupBy("chunk", "bucket").cogroup(drawn.groupBy("chunk", "bucket")).applyInArrow(
-        _bucket_products, "replicate long, bucket int, pos double, neg double, inside double"
+    drawn = packed.join(present, ["stratum", "cluster"]).select("range", F.col("_bucket").alias("bucket"), _member(), "weights")
+    used = min(RANGES, -(-resamples // CHUNK))
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(used - 1))).alias("range")
+    asked = placed.select(ranges, F.col("_bucket").alias("bucket"), _member(), F.col("score").cast("double").alias("score"), "pos", "neg")
+    parts = asked.groupBy("range", "bucket").cogroup(drawn.groupBy("range", "bucket")).applyInArrow(
+        partial(_bucket_products, resamples), "replicate long, bucket int, pos double, neg double, inside double"
     )
     before = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
@@ -318,36 +376,55 @@ def auroc_replicates(
         F.sum("pairs").alias("pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    # The last chunk may hold places beyond the last replicate.
-    return total.where(F.col("replicate") < resamples).select("replicate", F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).alias("value"))
+    return total.select("replicate", F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).alias("value"))
 
 
 def _member() -> Column:
     return F.concat_ws("|", "stratum", F.col("cluster").cast("string")).alias("member")
 
 
-def _bucket_products(key: tuple, asked: pa.Table, drawn: pa.Table) -> pa.Table:
-    """One bucket's positives, negatives and ordered pairs (ties count half) of each replicate."""
-    chunk, bucket = key[0].as_py(), key[1].as_py()
-    members = pc.index_in(asked.column("member"), drawn.column("member").combine_chunks())
-    row = pc.fill_null(members, drawn.num_rows).to_numpy().astype(np.int64)
-    places, weights = (drawn.column(n).combine_chunks() for n in ("places", "weights"))
-    matrix = np.zeros((drawn.num_rows + 1, CHUNK))
-    at = np.repeat(np.arange(drawn.num_rows), np.diff(places.offsets.to_numpy())) if drawn.num_rows else np.zeros(0, np.int64)
-    matrix[at, places.flatten().to_numpy()] = weights.flatten().to_numpy()
+def _bucket_products(resamples: int, key: tuple, asked: pa.Table, drawn: pa.Table) -> pa.Table:
+    """One bucket's positives, negatives and ordered pairs (ties count half) of each replicate of a range."""
+    replicates = np.concatenate([np.asarray(r, np.int64) for r in _range_of(key[0].as_py(), resamples)])
+    # The last row stands for a cluster that was not drawn from.
+    matrix = np.zeros((drawn.num_rows + 1, len(replicates)), np.uint8)
+    for number, weights in enumerate(drawn.column("weights")):
+        raw = weights.as_buffer()
+        row = np.frombuffer(raw, np.uint8 if raw.size == len(replicates) else np.uint32)
+        if row.dtype != matrix.dtype and row.max() > np.iinfo(matrix.dtype).max:
+            matrix = matrix.astype(np.uint32)
+        matrix[number] = row
+    member = pc.index_in(asked.column("member"), drawn.column("member").combine_chunks())
+    row = pc.fill_null(member, drawn.num_rows).to_numpy().astype(np.int64)
     score, pos, neg = (asked.column(n).to_numpy() for n in ("score", "pos", "neg"))
     order = np.argsort(score, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(score[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    drawn_rows = matrix[row[order]]
-    p = np.add.reduceat(drawn_rows * pos[order, None], first, axis=0)
-    n = np.add.reduceat(drawn_rows * neg[order, None], first, axis=0)
-    inside = (p * (np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+    score, pos, neg, row = score[order], pos[order].astype(np.float64), neg[order].astype(np.float64), row[order]
+    inside, all_pos, below = (np.zeros(len(replicates)) for _ in range(3))
+    # Of the last score met: its rows may go on in the next slice.
+    open_pos, open_neg, last = np.zeros(len(replicates)), np.zeros(len(replicates)), None
+    for begin in range(0, len(order), SLICE_ROWS):
+        some = slice(begin, begin + SLICE_ROWS)
+        first = np.flatnonzero(np.append(True, np.diff(score[some]) != 0))
+        weights = matrix[row[some]].astype(np.float64)
+        p = np.add.reduceat(weights * pos[some, None], first, axis=0)
+        n = np.add.reduceat(weights * neg[some, None], first, axis=0)
+        if score[begin] == last:
+            p[0] += open_pos
+            n[0] += open_neg
+        else:
+            inside += open_pos * (below + open_neg / 2)
+            all_pos, below = all_pos + open_pos, below + open_neg
+        open_pos, open_neg, last = p[-1], n[-1], score[some][-1]
+        p, n = p[:-1], n[:-1]
+        inside += (p * (below + np.cumsum(n, axis=0) - n / 2)).sum(axis=0)
+        all_pos, below = all_pos + p.sum(axis=0), below + n.sum(axis=0)
+    inside += open_pos * (below + open_neg / 2)
     return pa.table(
         {
-            "replicate": np.arange(CHUNK, dtype=np.int64) + chunk * CHUNK,
-            "bucket": np.full(CHUNK, bucket, dtype=np.int32),
-            "pos": p.sum(axis=0),
-            "neg": n.sum(axis=0),
+            "replicate": replicates,
+            "bucket": np.full(len(replicates), key[1].as_py(), dtype=np.int32),
+            "pos": all_pos + open_pos,
+            "neg": below + open_neg,
             "inside": inside,
         }
     )

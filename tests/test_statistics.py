@@ -1,5 +1,6 @@
 """Ranking, thresholds, bootstrap and running totals against NumPy brute force."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -132,6 +133,32 @@ def test_replicates_equal_resampling_rows(scored, monkeypatch, leaf):
         assert math.isclose(areas[replicate], pair_count(score[rows], label[rows]), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("opening", [b"7:12:0/3:", b"a" * 50, b"a" * 52, b"a" * 70])
+def test_hashes_of_draws_are_md5(opening):
+    for count in (0, 1, 10, 11, 1234):
+        both = [int.from_bytes(hashlib.md5(o + str(i).encode()).digest()[:4], "big") for o, n in ((opening, count), (opening[::-1], 3)) for i in range(n)]
+        assert B._md5_heads([opening, opening[::-1]], [count, 3]).tolist() == both
+
+
+def test_a_replicate_costs_a_cluster_one_byte_and_ties_go_across_slices(scored, monkeypatch):
+    kept = {}
+
+    def keep(df, purpose, materialize=B.materialize):
+        kept[purpose] = materialize(df, purpose)
+        return kept[purpose]
+
+    df, score, label, cluster, _ = scored
+    whole = {r.replicate: r.value for r in B.auroc_replicates(df, "score", "label", "cluster", "fold", 120, 7).collect()}
+    monkeypatch.setattr(B, "materialize", keep)
+    monkeypatch.setattr(B, "SLICE_ROWS", 2)
+    monkeypatch.setattr(B, "BUCKET_ROWS", 40)
+    areas = {r.replicate: r.value for r in B.auroc_replicates(df, "score", "label", "cluster", "fold", 120, 7).collect()}
+    assert len(areas) == 120 and all(math.isclose(areas[r], whole[r], rel_tol=1e-12) for r in whole)
+    weights = kept["weights"].groupBy("stratum", "cluster").agg(F.sum(F.octet_length("weights")).alias("bytes")).collect()
+    assert len(weights) == len(set(cluster)) and all(row.bytes == 120 for row in weights)
+    assert kept["bucketed-histograms"].select("_bucket").distinct().count() > 1
+
+
 def test_strata_keep_their_size_and_undefined_replicates_are_counted(scored, spark):
     df, *_ = scored
     draws = drawn_clusters(df, 5)
