@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -19,8 +20,10 @@ from proofline.sources import store as ST
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
-    """Files of a folder as a stream, with the schema of a table already known."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
+    """Files of a folder as a stream, with the schema of a table already known. A name that fits may be a
+    file, or a folder of part files, whose names are its own."""
+    # In braces any name is a pattern; without one a stream is read from folders only.
+    return spark.readStream.schema(like.schema).parquet(f"{folder}/{{{pattern}}}")
 
 
 def start(
@@ -40,9 +43,14 @@ def start(
 
 
 def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Every row written so far, with its ``batch``."""
+    """Every row written so far, with its ``batch``; none where no batch has come."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
-    return spark.read.schema(f"{columns}, batch BIGINT").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    try:
+        return spark.read.schema(f"{columns}, batch BIGINT").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{columns}, batch BIGINT")
 
 
 def append(rows: DataFrame, folder: str) -> None:

@@ -96,3 +96,15 @@ def test_vector_blocks_are_dealt_by_block(spark):
         assert blocks.count() >= 30
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder_of_parts(spark, tmp_path):
+    rows = spark.range(20).withColumn("x", F.col("id") * 2)
+    rows.repartition(3).write.parquet(f"{tmp_path}/in/parts.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (tmp_path / "in" / "file.parquet").write_bytes(next((tmp_path / "one").glob("part-*.parquet")).read_bytes())
+    for name in ("parts.parquet", "file.parquet"):
+        path = f"{tmp_path}/out-{name}"
+        J.start(J.file_stream(spark, f"{tmp_path}/in", name, rows), J.append, path).awaitTermination()
+        assert sorted(r.x for r in J.written(spark, path, rows).collect()) == list(range(0, 40, 2))
+    assert J.written(spark, f"{tmp_path}/never", rows).count() == 0
