@@ -198,3 +198,12 @@ def test_closed_forms(spark):
     ).first()
     assert abs(row.se - 0.0318) < 5e-4
     assert [row.a, row.b, row.c, row.d] == ["above the margin", "not attainable", "below the margin", "inconclusive at this n"]
+
+
+def test_leaves_are_dealt_over_all_tasks(scored):
+    # A few kilobytes here; by their size alone adaptive execution would give them to one task.
+    df, *_ = scored
+    clusters = df.select(F.col("fold").cast("string").alias("stratum"), "cluster").distinct()
+    leaves = B._leaves(clusters, 5000)
+    tasks = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    assert leaves.rdd.getNumPartitions() == tasks
