@@ -52,7 +52,8 @@ def reported_facts(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     Every wanted row comes back with ``matches``, ``conflict`` (two different values) and ``fact``,
     the first match in source order; null when nothing matched. Facts of one period end are
     combined before they move, so a filing with a third of all facts arrives as its few period
-    ends; these meet the wanted rows by equality, the bucket of the period end included.
+    ends; these meet the wanted rows by the four keys. A wanted row moves once, and its matches
+    are combined where it meets them.
     """
     keys = ["accession", "taxonomy", "concept", "unit"]
     ends = (
@@ -64,19 +65,15 @@ def reported_facts(wanted: DataFrame, facts: DataFrame) -> DataFrame:
             F.max("value").alias("_high"),
             F.min_by(F.struct("value", "end", "start", "ordinal"), "ordinal").alias("_fact"),
         )
-        .withColumn("_bucket", _bucket(F.col("end")))
-        .withColumnRenamed("end", "_end")
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("end").alias("_end"), "_n", "_low", "_high", "_fact")
     )
-    asked = wanted.withColumn("_target", P.period_end(F.col("report_date"), F.col("years_before"))).withColumn(
-        "_bucket", F.explode(_near_buckets(F.col("_target")))
-    )
-    joined = asked.join(ends, [*keys, "_bucket"], "left")
+    asked = wanted.withColumn("_target", P.period_end(F.col("report_date"), F.col("years_before")))
     near = F.abs(F.date_diff(F.col("_end"), F.col("_target"))) <= S.PERIOD_END_TOLERANCE_DAYS
-    of = lambda c: F.when(near, F.col(c))
+    joined = asked.join(ends, [*[F.col(k) == F.col(f"_{k}") for k in keys], near], "left")
     return joined.groupBy(*wanted.columns).agg(
-        F.coalesce(F.sum(of("_n")), F.lit(0)).alias("matches"),
-        F.coalesce(F.min(of("_low")) != F.max(of("_high")), F.lit(False)).alias("conflict"),
-        F.min_by(of("_fact"), F.when(near, F.col("_fact.ordinal"))).alias("fact"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("matches"),
+        F.coalesce(F.min("_low") != F.max("_high"), F.lit(False)).alias("conflict"),
+        F.min_by("_fact", "_fact.ordinal").alias("fact"),
     )
 
 
