@@ -70,6 +70,7 @@ def lookup(values: DataFrame, printed: DataFrame, key: str = "accession") -> Dat
 
     A value can only match what it rounds to at each step a text uses, so the search is an
     equality join on (key, kind, step, units) and never compares a value with every number.
+    Both tables are read twice, so they should be written, not computed where they are read.
     """
     powers = printed.groupBy(key, "kind").agg(
         # Steps are powers of ten: at most a few dozen per text.

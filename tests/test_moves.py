@@ -78,3 +78,16 @@ def test_values_at_the_edge_of_a_bucket(spark):
     )
     got = sorted((r.accession, int(r.value)) for r in FA.values_for_period(wanted, ends.unionByName(ends)).collect())
     assert got == [(t, e) for t in range(3 * FA.BUCKET_DAYS) for e in range(0, 3 * FA.BUCKET_DAYS, 9) if abs(t - e) <= 7]
+
+
+def test_texts_of_printed_numbers_are_parsed_once(spark, tmp_path):
+    import re
+
+    from proofline.catalog import numbers
+
+    line = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE"
+    spark.createDataFrame([(1, k, 3, 4, 5.0, 12345.67 + k) for k in range(4)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = numbers.printed_lookup(spark, str(tmp_path))
+    # The values are read where they are asked about and where they are given back, the texts no more.
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", _plan(found))) == 2
+    assert found.count() == 4
