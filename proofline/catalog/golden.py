@@ -12,6 +12,7 @@ from proofline.catalog.tables import FILINGS_SQL, cents, money_text, spread_tabl
 from proofline.operators import printed as PR
 from proofline.operators import questions as Q
 from proofline.plans import questions as PQ
+from proofline.session import materialize
 
 # --- fixed values: concepts of the rendered filings -----------------------------------------------
 CONCEPT_ROWS = [
@@ -44,7 +45,7 @@ def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as balances of the order's year end, one year back for even lines."""
     filings = _filings(spark, sf_dir).select("accession", "cik", "report_date", "fiscal_year")
-    line = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem")
     joined = line.join(filings, F.col("l_orderkey") == F.col("accession"))
     end = F.make_date(F.year("report_date") - F.col("l_linenumber") % 8, F.month("report_date"), F.least(F.day("report_date"), F.lit(28)))
     return joined.select(
@@ -116,7 +117,7 @@ def positive_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM w LEFT JOIN p USING (accession, key, years_before)""",
 )
 def wrong_year_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed = PR.printed_numbers(_texts(spark, sf_dir))
+    printed = materialize(PR.printed_numbers(_texts(spark, sf_dir)), "printed")
     found = Q.wrong_years(_filings(spark, sf_dir), _facts(spark, sf_dir), printed, _concepts(spark))
     return found.select("accession", "key", "years_before", "drop_reason")
 

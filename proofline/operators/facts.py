@@ -32,8 +32,9 @@ def _usable(start: Column, end: Column) -> Column:
     return P.is_instant(start) | P.is_annual(start, end)
 
 
-# Days of a bucket: the tolerance reaches into at most one neighbour.
-BUCKET_DAYS = 2 * S.PERIOD_END_TOLERANCE_DAYS + 1
+# Days of a bucket: the tolerance reaches into at most one neighbour, and mostly into none, so that
+# most wanted rows move once.
+BUCKET_DAYS = 16 * S.PERIOD_END_TOLERANCE_DAYS + 1
 
 
 def _bucket(day: Column) -> Column:
@@ -103,10 +104,9 @@ def values_for_period(wanted: DataFrame, facts: DataFrame) -> DataFrame:
     value, for wanted rows with cik, tags, unit, report_date and years_before. Repeats are removed
     before the join, and the bucket of the period end is part of its key."""
     keys = [c for c in wanted.columns if c != "tags"]
-    asked = wanted.withColumn("_target", P.period_end(F.col("report_date"), F.col("years_before"))).select(
-        *keys, "_target", F.explode("tags").alias("concept"), _near_buckets(F.col("_target")).alias("_buckets")
-    )
-    asked = asked.select(*keys, "concept", "_target", F.explode("_buckets").alias("_bucket"))
+    target = P.period_end(F.col("report_date"), F.col("years_before"))
+    asked = wanted.select(*keys, F.explode("tags").alias("concept"), _near_buckets(target).alias("_buckets"))
+    asked = asked.select(*keys, "concept", F.explode("_buckets").alias("_bucket"))
     found = (
         facts.where(_usable(F.col("start"), F.col("end")) & (F.col("taxonomy") == S.TAXONOMY))
         .select("cik", "concept", "unit", F.col("end").alias("_end"), "value")
@@ -114,7 +114,7 @@ def values_for_period(wanted: DataFrame, facts: DataFrame) -> DataFrame:
         .withColumn("_bucket", _bucket(F.col("_end")))
     )
     joined = asked.join(found, ["cik", "concept", "unit", "_bucket"])
-    near = F.abs(F.date_diff(F.col("_end"), F.col("_target"))) <= S.PERIOD_END_TOLERANCE_DAYS
+    near = F.abs(F.date_diff(F.col("_end"), target)) <= S.PERIOD_END_TOLERANCE_DAYS
     return joined.where(near).select(*keys, "value").distinct()
 
 

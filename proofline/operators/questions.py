@@ -68,7 +68,7 @@ def default_concepts(spark) -> DataFrame:
 
 def _wanted(filings: DataFrame, concepts: DataFrame, years_back: tuple[int, ...]) -> DataFrame:
     """filings x concepts x years back; concepts are a handful of rows and years a literal."""
-    return filings.crossJoin(concepts).withColumn(
+    return filings.crossJoin(F.broadcast(concepts)).withColumn(
         "years_before", F.explode(F.array(*[F.lit(y) for y in years_back]))
     )
 
@@ -109,11 +109,19 @@ def wrong_years(filings: DataFrame, facts: DataFrame, printed: DataFrame, concep
     values = FA.values_for_period(wanted, facts).select(
         "accession", "key", "years_before", A.to_nano(F.col("value")).alias("nano"), _per_share().alias("per_share")
     )
-    found = PR.lookup(values, printed).groupBy("accession", "key", "years_before").agg(
+    found = PR.lookup(materialize(values, "period-values"), printed).groupBy("accession", "key", "years_before").agg(
         F.bool_or("may_print").alias("_printed")
     )
-    asked = wanted.select("accession", "key", "unit", "years_before", F.get("tags", F.lit(0)).alias("concept"))
-    joined = asked.join(found, ["accession", "key", "years_before"], "left")
+    # One list for each filing, at most a row for each concept and year: the filings meet it before they
+    # are multiplied by concepts and years.
+    listed = found.groupBy("accession").agg(F.collect_list(F.struct("key", "years_before", "_printed")).alias("_found"))
+    asked = _wanted(
+        filings.select("accession").join(listed, "accession", "left"), concepts.select("key", "tags", "unit"), S.WRONG_YEARS_BACK
+    )
+    mine = F.filter("_found", lambda x: (x["key"] == F.col("key")) & (x["years_before"] == F.col("years_before")))
+    joined = asked.select(
+        "accession", "key", "unit", "years_before", F.get("tags", F.lit(0)).alias("concept"), F.get(mine, F.lit(0))["_printed"].alias("_printed")
+    )
     reason = F.when(F.col("_printed").isNull(), F.lit("no_value_for_year")).when(
         F.col("_printed"), F.lit("value_in_text")
     )
@@ -199,7 +207,7 @@ def _peer_values(filings: DataFrame, concepts: DataFrame, facts: DataFrame) -> D
 
 
 def _judged_peers(pairs: DataFrame, values: DataFrame, printed: DataFrame, filings: DataFrame) -> DataFrame:
-    checked = PR.lookup(pairs.join(values, "asked_accession"), printed)
+    checked = PR.lookup(materialize(pairs.join(values, "asked_accession"), "peer-pairs"), printed)
     reason = F.when(F.col("nano").isNull(), F.lit("no_value_for_asked_company")).when(
         F.coalesce("may_print", F.lit(False)), F.lit("value_in_text")
     )
