@@ -85,8 +85,8 @@ def test_texts_of_printed_numbers_are_parsed_once(spark, tmp_path):
 
     from proofline.catalog import numbers
 
-    line = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE"
-    spark.createDataFrame([(1, k, 3, 4, 5.0, 12345.67 + k) for k in range(4)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    line = "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE"
+    spark.createDataFrame([(1, k, 3, 4, 5.0, 12345.67 + k, 0.1) for k in range(4)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = numbers.printed_lookup(spark, str(tmp_path))
     # The values are read where they are asked about and where they are given back, the texts no more.
     assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", _plan(found))) == 2
