@@ -105,18 +105,17 @@ def graded(answers: DataFrame) -> DataFrame:
     gold = A.to_nano(F.col("expected_value"))
     asked = ~F.col("abstained") & F.col("expected_value").isNotNull()
     cited = F.transform(F.coalesce("citations", F.array()), lambda c: c["marker"])
-    numbered = F.transform("passages", lambda p, i: F.struct((i + 1).alias("marker"), p["text"].alias("text")))
-
-    def any_prints(texts: Column) -> Column:
-        return F.exists(texts, lambda t: prints_in(t["text"], gold, F.col("per_share")))
+    # Each passage is read once, whether or not it is cited.
+    read = F.when(
+        asked, F.transform("passages", lambda p, i: F.struct((i + 1).alias("marker"), prints_in(p["text"], gold, F.col("per_share")).alias("prints")))
+    )
+    prints = F.col("_read")
 
-    return answers.select(
-        "*",
+    return C.once(answers, _read=read).select(
+        *answers.columns,
         F.when(asked, A.states_value(F.col("answer"), gold, F.col("tolerance"))).alias("numeric_correct"),
-        F.when(
-            asked, any_prints(F.filter(numbered, lambda n: F.array_contains(cited, n["marker"])))
-        ).alias("citation_supported"),
-        F.when(asked, any_prints(numbered)).alias("gold_retrieved"),
+        F.when(asked, F.exists(prints, lambda n: n["prints"] & F.coalesce(F.array_contains(cited, n["marker"]), F.lit(False)))).alias("citation_supported"),
+        F.when(asked, F.exists(prints, lambda n: n["prints"])).alias("gold_retrieved"),
         F.transform(F.coalesce("citations", F.array()), lambda c: c["item"]).alias("cited_items"),
     )
 
