@@ -115,8 +115,7 @@ def values_for_period(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT cik, accession, fiscal_year, strftime(first_filed, '%Y-%m-%d') AS first_filed FROM r JOIN f USING (accession) WHERE k = 1""",
 )
 def fiscal_label_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir)
-    labels = FA.fiscal_labels(rows).join(FA.first_filed(rows), "accession")
+    labels = FA.labelled_filings(facts(spark, sf_dir))
     return labels.select("cik", "accession", "fiscal_year", F.date_format("first_filed", "yyyy-MM-dd").alias("first_filed"))
 
 

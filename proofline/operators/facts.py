@@ -131,6 +131,26 @@ def fiscal_labels(facts: DataFrame, form: str = S.ANNUAL_FORM) -> DataFrame:
     )
 
 
+def labelled_filings(facts: DataFrame, form: str = S.ANNUAL_FORM) -> DataFrame:
+    """``fiscal_labels`` with ``first_filed``, from one pass over the facts: they are counted by filing and
+    year first, and every step after reads those counts where they are."""
+    annual = (F.col("form") == form) & F.col("fiscal_year").isNotNull()
+    counts = (
+        facts.where(F.col("accession").isNotNull())
+        .groupBy("accession", "cik", "fiscal_year")
+        .agg(F.count_if(annual).alias("n"), F.min(F.when(annual, F.col("ordinal"))).alias("first"), F.min("filed").alias("_filed"))
+    )
+    place = F.when(F.col("n") > 0, F.struct(F.col("n"), -F.col("first")))
+    labels = counts.groupBy("accession", "cik").agg(
+        F.max_by("fiscal_year", place).alias("fiscal_year"), F.max("n").alias("n"), F.min("_filed").alias("_filed")
+    )
+    # An accession has one company but for errors of the source; the first date is that of all of them.
+    every = labels.groupBy("accession").agg(
+        F.min("_filed").alias("first_filed"), F.collect_list(F.when(F.col("n") > 0, F.struct("cik", "fiscal_year"))).alias("_labels")
+    )
+    return every.select("accession", "first_filed", F.inline("_labels")).select("cik", "accession", "fiscal_year", "first_filed")
+
+
 def filings_per_year(labels: DataFrame) -> DataFrame:
     """(cik, fiscal_year, filings, accession): how many filings carry a year, and the first."""
     return labels.groupBy("cik", "fiscal_year").agg(
