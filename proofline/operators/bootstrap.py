@@ -28,12 +28,15 @@ from pyspark.sql.window import Window
 from proofline import schemas as S
 from proofline.functions.statistics import check_confidence, effect_factor
 from proofline.operators.running import MAX_BUCKETS, running_totals, with_bucket
-from proofline.session import materialize
+from proofline.session import materialize, temporary
 
 #: Replicates whose weights are one matrix, histogram rows of a bucket (about) and rows multiplied at once.
 CHUNK, BUCKET_ROWS, SLICE_ROWS = 100, 1 << 22, 1 << 12
 #: Clusters of a leaf, and ranges of replicates over which the work on a leaf is dealt.
 LEAF, RANGES = 4096, 16
+#: Bytes that the steps of an AUROC's pass move (about), of a histogram row and of a weight with what goes with it.
+#: A pass is as many ranges as fit, one at least.
+PASS_BYTES, HIST_BYTES, KEY_BYTES = 1 << 31, 40, 40
 #: Groups in which the states of leaves are merged first.
 MERGED = 64
 #: Replicates whose draws from a leaf are hashed together.
@@ -138,16 +141,24 @@ def leaf_weights(seed: int, replicates: range, stratum: str, size: int, leaf: in
     return out
 
 
-def _leaves(clusters: DataFrame, resamples: int) -> DataFrame:
-    """``clusters`` with the size of their stratum, their leaf, and once for each range of replicates."""
+def _placed(clusters: DataFrame, resamples: int) -> DataFrame:
+    """``clusters`` with their position, the size of their stratum, and their leaf."""
     if resamples < 1:
         raise ValueError(f"resamples must be positive, got {resamples}")
     sizes = clusters.groupBy("stratum").agg(F.count("*").alias("_size"))
-    dealt = numbered_clusters(clusters).join(sizes, "stratum").select(
-        "*", F.floor(F.col("position") / LEAF).alias("_leaf"), F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_range")
-    )
+    return numbered_clusters(clusters).join(sizes, "stratum").withColumn("_leaf", F.floor(F.col("position") / LEAF))
+
+
+def _leaves(clusters: DataFrame, resamples: int) -> DataFrame:
+    """``clusters`` with the size of their stratum, their leaf, and once for each range of replicates."""
+    return _dealt(_placed(clusters, resamples), range(RANGES))
+
+
+def _dealt(placed: DataFrame, ranges: range) -> DataFrame:
+    """Placed clusters once for each of some ranges of replicates, dealt by leaf."""
+    dealt = placed.withColumn("_range", F.explode(F.sequence(F.lit(ranges[0]), F.lit(ranges[-1]))))
     # A leaf is few bytes and many draws: adaptive execution, which sees bytes only, is not to join leaves into few tasks.
-    tasks = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return dealt.repartition(tasks, "stratum", "_size", "_leaf", "_range")
 
 
@@ -330,14 +341,16 @@ def auroc_replicates(
     multiplies the weights of the clusters (clusters by replicates) with the bucket's histogram, slice by slice, and
     gives one row per replicate: its positives, negatives and ordered pairs inside the bucket. The
     pairs between buckets follow from those rows. A weight is a byte and goes once to each bucket that has its
-    cluster, a histogram row once to each range; no pair of clusters is formed.
+    cluster, a histogram row once to each range; no pair of clusters is formed. Ranges are worked on in passes, one
+    after the other, and what a pass moved is gone when the next begins. So the disk holds ``PASS_BYTES`` or so, or one range.
     """
     positive = F.col(label).cast("int")
     hist = cases.groupBy(
         _stratum(strata).alias("stratum"), F.col(cluster).alias("cluster"), F.col(score).alias("score")
     ).agg(F.sum(positive).cast("long").alias("pos"), F.sum(1 - positive).cast("long").alias("neg"))
+    spark = cases.sparkSession
     hist = materialize(hist, "cluster-histograms")
-    clusters = _leaves(hist.select("stratum", "cluster").distinct(), resamples)
+    clusters = materialize(_placed(hist.select("stratum", "cluster").distinct(), resamples), "placed-clusters")
 
     def pack(key: tuple, leaf: pa.Table) -> pa.Table:
         stratum, size, number, part = (k.as_py() for k in key)
@@ -355,21 +368,34 @@ def auroc_replicates(
     nothing = pa.table(
         [pa.array([], t) for t in (pa.int32(), pa.string(), to_arrow_type(kind), pa.binary())], ["range", "stratum", "cluster", "weights"]
     )
-    packed = clusters.groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(
-        pack, f"range int, stratum string, cluster {kind.simpleString()}, weights binary"
-    )
-    # A cluster's draws in one range of replicates are one row.
-    packed = materialize(packed, "weights")
     buckets = min(MAX_BUCKETS, -(-hist.count() // BUCKET_ROWS)) or 1
     placed = materialize(with_bucket(hist.where("score is not null"), "score", buckets), "bucketed-histograms")
-    present = placed.select("_bucket", "stratum", "cluster").distinct()
-    drawn = packed.join(present, ["stratum", "cluster"]).select("range", F.col("_bucket").alias("bucket"), _member(), "weights")
+    present = materialize(placed.select("_bucket", "stratum", "cluster").distinct(), "present")
     used = min(RANGES, -(-resamples // CHUNK))
-    ranges = F.explode(F.sequence(F.lit(0), F.lit(used - 1))).alias("range")
-    asked = placed.select(ranges, F.col("_bucket").alias("bucket"), _member(), F.col("score").cast("double").alias("score"), "pos", "neg")
-    parts = asked.groupBy("range", "bucket").cogroup(drawn.groupBy("range", "bucket")).applyInArrow(
-        partial(_bucket_products, resamples), "replicate long, bucket int, pos double, neg double, inside double"
-    )
+    moved = HIST_BYTES * placed.count() + (KEY_BYTES + -(-resamples // used)) * (present.count() + clusters.count())
+    passes = _passes(used, moved)
+
+    def products(ranges: range) -> DataFrame:
+        packed = _dealt(clusters, ranges).groupBy("stratum", "_size", "_leaf", "_range").applyInArrow(
+            pack, f"range int, stratum string, cluster {kind.simpleString()}, weights binary"
+        )
+        # A cluster's draws in one range of replicates are one row.
+        packed = materialize(packed, "weights")
+        drawn = packed.join(present, ["stratum", "cluster"]).select("range", F.col("_bucket").alias("bucket"), _member(), "weights")
+        each = F.explode(F.sequence(F.lit(ranges[0]), F.lit(ranges[-1]))).alias("range")
+        asked = placed.select(each, F.col("_bucket").alias("bucket"), _member(), F.col("score").cast("double").alias("score"), "pos", "neg")
+        return asked.groupBy("range", "bucket").cogroup(drawn.groupBy("range", "bucket")).applyInArrow(
+            partial(_bucket_products, resamples), "replicate long, bucket int, pos double, neg double, inside double"
+        )
+
+    if len(passes) == 1:
+        parts = products(passes[0])
+    else:
+        made = []
+        for ranges in passes:
+            with temporary(spark) as keep:
+                made.append(keep(products(ranges), "products"))
+        parts = reduce(DataFrame.union, made)
     before = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
     total = parts.withColumn("pairs", F.col("inside") + F.col("pos") * below).groupBy("replicate").agg(
@@ -379,6 +405,12 @@ def auroc_replicates(
     return total.select("replicate", F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).alias("value"))
 
 
+def _passes(used: int, moved: int) -> list[range]:
+    """The first ``used`` ranges of replicates in passes, of which a range moves so many bytes."""
+    wide = max(1, min(used, PASS_BYTES // max(moved, 1)))
+    return [range(first, min(first + wide, used)) for first in range(0, used, wide)]
+
+
 def _member() -> Column:
     return F.concat_ws("|", "stratum", F.col("cluster").cast("string")).alias("member")
 
