@@ -32,3 +32,16 @@ def test_passes_give_what_one_gives_and_leave_no_weights(spark, monkeypatch):
     found = B.auroc_replicates(rows, "score", "label", "cluster", "fold", 250, 7)
     assert {r.replicate: r.value for r in found.collect()} == whole and len(whole) == 250
     assert len(paths) == 3 and not any(os.path.exists(p.removeprefix("file:").replace("///", "/")) for p in paths)
+
+
+def test_a_difference_has_the_same_draws_on_both_sides_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(B, "PASS_BYTES", 1)
+    rows = spark.range(300).select(
+        F.expr("id % 23").alias("cluster"), F.expr("id % 23 % 2").alias("fold"), F.expr("id * 7919 % 61 / 4").alias("score"), F.expr("id % 3 = 0").alias("label")
+    )
+    both = rows.withColumn("doubled", F.col("score") * 2)
+    first, second = (B.auroc_replicates(both, score, "label", "cluster", "fold", 150, 7) for score in ("score", "doubled"))
+    found = B.auroc_difference_replicates(first, second).collect()
+    assert len({r.replicate for r in found}) == 150 and {r.value for r in found} == {0.0}
+    # The tables of a pass are gone, the results of all passes are there.
+    assert first.count() == 150 and second.count() == 150
