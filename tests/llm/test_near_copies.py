@@ -1,6 +1,7 @@
 """What the near-copy stage links, and what it reads for it."""
 
 import random
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -64,3 +65,21 @@ def test_long_sketches_leave_few_pairs():
     batch = pa.RecordBatch.from_pylist([{"a": a, "b": b, "size": int(sizes[n]), "long": long[n]} for a, b, n in rows])
     (found,) = similar._passing_batches(Fraction(4, 5), iter([batch]))
     assert found.to_pylist() == [{"a": 1, "b": 1}]
+
+
+def test_few_texts_are_unpacked_at_once(monkeypatch):
+    rng = random.Random(6)
+    texts = [_words(rng, count) for count in (0, 3, 700, 40, 5, 9, 2000)] * 30
+    packed = pa.array([zlib.compress(t.encode(), 1) for t in texts], pa.binary())
+    seen = []
+
+    def slices(column, kept=similar.text_slices):
+        seen.append(len(column))
+        return kept(column)
+
+    monkeypatch.setattr(similar, "text_slices", slices)
+    found = list(similar._unpacked(packed, 5))
+    hashes, sizes = _sets(texts)
+    want = np.split(hashes, np.cumsum(sizes)[:-1])
+    assert len(found) == len(want) and all((a == b).all() for a, b in zip(found, want))
+    assert sum(seen) == len(texts) and max(seen) <= similar.UNPACKED
